@@ -38,12 +38,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from shared storage.
+    """``df`` computed once, written to the shared folder and read back.
 
-    Cuts the lineage without tying it to executors that may be lost.
+    Cuts the lineage without tying it to executors that may be lost. The files go
+    when the driver's JVM ends, or earlier through :func:`release`.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop_path, fs = _file_system(spark, path)
+    fs.deleteOnExit(hadoop_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._aroeira_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a table made by :func:`durable` that nothing reads any more."""
+    path = getattr(df, "_aroeira_path", None)
+    if path:
+        hadoop_path, fs = _file_system(df.sparkSession, path)
+        fs.delete(hadoop_path, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(jsc.hadoopConfiguration())
 
 
 def parallelism(spark: SparkSession) -> int:
