@@ -136,7 +136,7 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: floa
     )
     group = ["source", "l", "t", "class", "bucket"]
     totals = drawn.groupBy(*group, "weight").agg((F.count(F.lit(1)) * F.col("weight")).alias("mass"))
-    run = Window.partitionBy("source").orderBy("l", "t", "class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("source").orderBy("class", "l", "t", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     start = totals.select(*group, F.coalesce(F.sum("mass").over(run), F.lit(0.0)).alias("start"))
     within = Window.partitionBy(*group).orderBy("order", "doc_id")
     offset = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1000)) / 1000.0

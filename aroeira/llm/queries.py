@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable, table
-from . import components, mixing, tokens
+from . import components, mixing, subjects, tokens
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,17 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.mix(_sized(spark, sf_dir), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_group_sizes, p6_ids, p7_mix, p7_report)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many messages of each source treat each subject."""
+    per = durable(p8_found(spark, sf_dir)).join(table(spark, sf_dir, "documents", "doc_id", "source"), "doc_id")
+    return per.groupBy("source", "subject").agg(F.count(F.lit(1)).alias("messages"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_group_sizes, p6_ids, p7_mix, p7_report, p8_found, p8_composition)}
 
 _REACH = """WITH RECURSIVE m AS (SELECT cohort.rec_id AS a, target.rec_id AS b FROM linkage_matches WHERE cohort.rec_id IS NOT NULL AND target.rec_id IS NOT NULL AND cohort.rec_id <> target.rec_id
   AND (lower(trim(link_type)) = 'deterministic' OR (score >= threshold AND NOT isnan(score) AND NOT isnan(threshold)))),

@@ -198,7 +198,5 @@ def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str =
 
 def _small_batches(df: DataFrame) -> DataFrame:
     """Arrow batches are cut by bytes as well as rows, so long texts do not pile up."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**63 - 1))) > 16 << 20:
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return df
