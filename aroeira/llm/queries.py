@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable, table
-from . import components, mixing, subjects, tokens
+from . import components, entities, mixing, subjects, tokens
+
+
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched pairs with their confidence."""
+    return entities.match_people(table(spark, sf_dir, "cohort_people"), table(spark, sf_dir, "target_people"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_matches(spark, sf_dir).select("cohort_id", "target_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +58,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("source", "subject").agg(F.count(F.lit(1)).alias("messages"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_group_sizes, p6_ids, p7_mix, p7_report, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p5_found, p5_group_sizes, p6_ids, p7_mix, p7_report, p8_found, p8_composition)}
 
 _REACH = """WITH RECURSIVE m AS (SELECT cohort.rec_id AS a, target.rec_id AS b FROM linkage_matches WHERE cohort.rec_id IS NOT NULL AND target.rec_id IS NOT NULL AND cohort.rec_id <> target.rec_id
   AND (lower(trim(link_type)) = 'deterministic' OR (score >= threshold AND NOT isnan(score) AND NOT isnan(threshold)))),

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .mail import sentences
 
 #: Bound of the sample of labelled messages the factorization is fitted on.
@@ -209,6 +210,7 @@ def labelled_messages(documents: DataFrame, labels: DataFrame, limit: int = FIT_
             split = [sentences(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(split, pa.list_(pa.string()))], names=["doc_id", "labels", "sentences"])
 
+    ship(documents.sparkSession)
     text = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "labels")
     rows = text.mapInArrow(run, "doc_id bigint, labels array<string>, sentences array<string>").toArrow()
     got = sorted(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "sentences", "labels"))))
@@ -217,7 +219,7 @@ def labelled_messages(documents: DataFrame, labels: DataFrame, limit: int = FIT_
 
 def assign(documents: DataFrame, model: SubjectModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, subject): the subjects each message treats in three sentences or more."""
-    shared = documents.sparkSession.sparkContext.broadcast((model.subjects, model.evidence, model.known))
+    shared = ship(documents.sparkSession).sparkContext.broadcast((model.subjects, model.evidence, model.known))
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches):

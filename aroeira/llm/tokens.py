@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship
+
 #: Where the public vocabularies are; a parameter of every function here.
 TOKENIZERS = os.environ.get("AROEIRA_TOKENIZERS", "/opt/tokenizers")
 BPE_50K = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -198,5 +200,5 @@ def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str =
 
 def _small_batches(df: DataFrame) -> DataFrame:
     """Arrow batches are cut by bytes as well as rows, so long texts do not pile up."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    ship(df.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return df
