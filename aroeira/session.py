@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +72,20 @@ def _file_system(spark: SparkSession, path: str):
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions the session plans with."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Makes this package importable in Python workers, once per application.
+
+    The package's sources go out through Spark's own file server, as code does.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_aroeira_shipped", None) is None:
+        here = Path(__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="aroeira-code-")) / f"{here.name}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(here.rglob("*.py")):
+                z.write(p, p.relative_to(here.parent))
+        sc.addPyFile(str(archive))
+        sc._aroeira_shipped = str(archive)
+    return spark
