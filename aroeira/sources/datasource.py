@@ -2,22 +2,25 @@
 
 One task per file.  Options: ``path`` (a file, a folder, a pattern, or several with
 commas, on storage all executors see), ``encoding``, ``columns`` (names with commas:
-only these are decoded), ``file_column`` (name of an added column with the file's name).
-Equality and membership filters on text are applied while decoding.
+only these are decoded), ``file_column`` (name of an added column with the file's name),
+``criteria`` (equality and membership criteria as JSON, applied while decoding, the
+text fields they name need not be selected).  Filters of a query are left to Spark: a
+reader that takes them keeps them for later queries on the same DataFrame.
 """
 
 from __future__ import annotations
 
 import glob
+import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..session import ship
 from . import dbc, dbf
@@ -65,16 +68,9 @@ class DbcDataSource(DataSource):
 
 class DbcFileReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType) -> None:
-        self.options, self.schema, self.tests = options, schema, []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Takes equality and membership on text; Spark keeps the rest."""
-        for f in filters:
-            values = (f.value,) if isinstance(f, EqualTo) else tuple(f.value) if isinstance(f, In) else ()
-            if values and len(f.attribute) == 1 and all(isinstance(v, str) for v in values) and f.attribute[0] != self.options.get("file_column"):
-                self.tests.append((f.attribute[0], values))
-            else:
-                yield f
+        self.options, self.schema = options, schema
+        objects = json.loads(options.get("criteria", "[]"))
+        self.tests = [(o["prop"], [o["value"]] if o["type"] == "string" else list(o["value"])) for o in objects]
 
     def partitions(self) -> list[InputPartition]:
         return [FilePartition(p) for p in files_of(self.options["path"])]
@@ -86,10 +82,10 @@ class DbcFileReader(DataSourceReader):
         reader = dbc.DbcReader(partition.path, self.options.get("encoding", "latin-1"))
         for batch in reader.batches([*self.schema.names, *(c for c, _ in self.tests)]):
             for c, values in self.tests:
-                if c not in batch.schema.names:
+                if c not in batch.schema.names or not pa.types.is_string(batch.schema.field(c).type):
                     batch = batch.slice(0, 0)
                 else:
-                    batch = batch.filter(pc.is_in(batch.column(c), pa.array(values)))
+                    batch = batch.filter(pc.is_in(batch.column(c), pa.array(values, pa.string())))
             columns = []
             for f in target:
                 if f.name == self.options.get("file_column"):
@@ -145,5 +141,5 @@ class DbcFileWriter(DataSourceWriter):
 
 
 def register(spark: SparkSession) -> None:
-    ship(spark).conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    ship(spark)
     spark.dataSource.register(DbcDataSource)
