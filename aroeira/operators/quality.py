@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 SERIES_PATTERN = r"(?s)\A(.*[A-Za-z]{4})([0-9]{4})(\.[^./]*)\z"
 
 
@@ -79,12 +81,16 @@ RECORD_RULES = (
 FOUND_COLUMNS = ("sexo", "cges", "tpfin")
 
 
-def once(df: DataFrame, key: str, keep: Sequence[str]) -> DataFrame:
-    """Each ``key`` once; redelivered rows agree on ``keep``.  Keyless rows all stay."""
-    cols = list(dict.fromkeys([key, *keep]))
-    d = df.select(*(F.col(f"`{c}`") for c in cols))
-    salt = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
-    return d.withColumn("__row", salt).dropDuplicates([key, "__row"]).drop("__row")
+def once(df: DataFrame, key: str | Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Each record once: distinct rows of key and ``keep``, on which redelivered rows agree.
+
+    Rows without a key cannot be told apart and all stay.  Grouping by every column
+    hashes; picking a first row per key would sort.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    cols = list(dict.fromkeys([*keys, *keep]))
+    salt = F.when(F.col(f"`{keys[0]}`").isNull(), F.monotonically_increasing_id())
+    return df.select(*(F.col(f"`{c}`") for c in cols), salt.alias("__row")).distinct().drop("__row")
 
 
 def states(df: DataFrame, load: str, rules: Sequence[ColumnRule], sketch: bool = True) -> DataFrame:
@@ -221,8 +227,8 @@ def found(records: DataFrame, load: str = "file", key: str = "rec_id", columns:
     rules = [r for r in RECORD_RULES if r.name in columns]
     slim = records.select(load, key, *columns)
     unique = once(slim, key, [load, *columns])
-    hist = histogram(unique, load, columns)
-    broken = once(violations(slim, load, key, rules).withColumn("k", F.struct(key, "column_name")), "k", ["case_kind", load, "column_name", key]).drop("k")
+    hist = durable(histogram(unique, load, columns))  # read for totals and for values, of a load and of the next
+    broken = once(violations(slim, load, key, rules), [key, "column_name"], ["case_kind", load])
     whole = changes(hist, load).withColumn(key, F.lit(-1).cast("bigint"))
     return broken.select("case_kind", load, "column_name", key).unionByName(whole.select("case_kind", load, "column_name", key))
 
