@@ -80,7 +80,9 @@ def readable(text: str, depth: int = 0) -> str:
     if base.startswith("multipart/") and depth < 8:
         m = _PARAM.search(kind)
         if m and (boundary := m[1] or m[2]) and f"--{boundary}" in body:
-            pieces = re.split(rf"(?:\A|\n)--{re.escape(boundary)}(?:--)?[ \t]*(?=\n|\Z)", body)[1:]
+            mark = rf"(?:\A|\n)--{re.escape(boundary)}"
+            body = re.split(rf"{mark}--[ \t]*(?=\n|\Z)", body, maxsplit=1)[0]
+            pieces = re.split(rf"{mark}[ \t]*(?=\n|\Z)", body)[1:]
             parts = [p.removeprefix("\n") for p in pieces]
             parts = [p for p in parts if p.strip()]
             read = [(split_message(p)[0].get("content-type", "text/plain").lower(), p) for p in parts]

@@ -39,7 +39,8 @@ SUBJECT_SHARE = 0.3
 ANCHOR_SHARE = 0.3
 #: A term seeds a subject if at least this share of its sentences may be on the subject ...
 SEED_SHARE = 0.3
-#: ... and that is so many standard deviations above this share, which common language may reach.
+#: ... and that is so many standard deviations above the share that common language may reach:
+#: this one, or 1.3 times the subject's share of all sentences if that is more.
 SEED_CHANCE = 0.2
 SEED_SURPLUS = 2.5
 GENERIC_COST = 0.03
@@ -142,8 +143,10 @@ def fit(messages: list[tuple[list[str], set[str]]], subjects: list[str]) -> Subj
     k, v, n = len(subjects), len(vocabulary), len(rows)
     if not v:
         return SubjectModel(subjects, {}, set())
-    entries = [(i, vocabulary[t]) for i, ts in enumerate(rows) for t in ts if t in vocabulary]
-    i, j = (np.array(x, dtype=np.int64) for x in zip(*entries))
+    inside = [[vocabulary[t] for t in ts if t in vocabulary] for ts in rows]
+    i = np.repeat(np.arange(n), [len(x) for x in inside])
+    j = np.fromiter((c for x in inside for c in x), dtype=np.int64, count=len(i))
+    del inside, rows
     mask = np.zeros((n, k + 1))
     for r, ks in enumerate(allowed):
         mask[r, list(ks)] = 1.0
@@ -154,8 +157,9 @@ def fit(messages: list[tuple[list[str], set[str]]], subjects: list[str]) -> Subj
     h = np.zeros((k + 1, v))
     for s in range(k):
         own = np.bincount(j[mask[i, s] > 0], minlength=v).astype(float)
-        surplus = (own - SEED_CHANCE * total) / np.sqrt(np.maximum(SEED_CHANCE * (1 - SEED_CHANCE) * total, 1e-12))
-        h[s] = np.where((own >= SEED_SHARE * total) & (surplus >= SEED_SURPLUS), own - SEED_CHANCE * total, 0.0)
+        chance = min(max(SEED_CHANCE, 1.3 * own.sum() / max(total.sum(), 1.0)), 0.9)
+        surplus = (own - chance * total) / np.sqrt(np.maximum(chance * (1 - chance) * total, 1e-12))
+        h[s] = np.where((own >= max(SEED_SHARE, chance) * total) & (surplus >= SEED_SURPLUS), own - chance * total, 0.0)
     h[k] = total
     h /= np.maximum(h.sum(axis=1, keepdims=True), 1e-12)
     w = mask / mask.sum(axis=1, keepdims=True)
