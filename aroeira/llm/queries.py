@@ -64,4 +64,8 @@ _REACH = """WITH RECURSIVE m AS (SELECT cohort.rec_id AS a, target.rec_id AS b F
   AND (lower(trim(link_type)) = 'deterministic' OR (score >= threshold AND NOT isnan(score) AND NOT isnan(threshold)))),
   e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
   r AS (SELECT DISTINCT a AS rec_id, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.rec_id WHERE r.g < e.b)"""
-ORACLE: dict[str, str] = {}
+_GROUPS = f"{_REACH} SELECT rec_id, min(g) AS group_id FROM r GROUP BY rec_id"
+ORACLE: dict[str, str] = {
+    "p5_found": _GROUPS,
+    "p5_group_sizes": f"SELECT records, count(*) AS groups FROM (SELECT group_id, count(*) AS records FROM ({_GROUPS}) GROUP BY group_id) GROUP BY records",
+}
