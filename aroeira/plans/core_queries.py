@@ -139,6 +139,11 @@ ORACLE = {
       w AS (SELECT *, count(*) OVER k AS history, avg(x) OVER k AS c, greatest(3 * stddev_pop(x) OVER k, 0.02) AS lim FROM m
         WINDOW k AS (PARTITION BY series, column_name ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
       SELECT file, column_name, round(x, 6) AS observed, history FROM w WHERE history >= 4 AND abs(x - c) > lim""",
+    "p2_versions": """SELECT sha256(f) AS fingerprint, f AS fields, count(*) AS files, min(file) AS first_file, max(file) AS last_file FROM (
+      SELECT file, string_agg(n || ':' || k, ',' ORDER BY n) AS f FROM (
+        SELECT file, upper(trim(x.name)) AS n, min(upper(trim(x.type))) AS k FROM (
+          SELECT file, unnest(fields) AS x FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY loaded_at DESC) AS r FROM file_metadata) WHERE r = 1)
+        GROUP BY ALL) GROUP BY file) GROUP BY f""",
     "p3_found": """WITH d AS (SELECT rec_id, sexo, cges FROM sia_records GROUP BY ALL), n AS (SELECT count(*) AS n FROM d),
       k AS (SELECT 'sexo' AS column_name, sexo AS key_value, count(*) AS c FROM d GROUP BY ALL UNION ALL SELECT 'cges', cges, count(*) FROM d GROUP BY ALL)
       SELECT column_name, key_value FROM k, n WHERE trim(key_value, ' ') <> '' AND 20 * c >= n""",
