@@ -90,7 +90,8 @@ def to_tasks(df: DataFrame, plan: ShardPlan, group: str, key: str, spread: Colum
     h = F.broadcast(plan.heavy_frame(df.sparkSession))
     j = df.join(h, (df[group] == h["h_group"]) & df[key].eqNullSafe(h["h_key"]), "left")
     shards = F.size("h_tasks")
-    at = F.array(*(F.lit(t) for t in plan.bins))[_bin(F.col(group), F.col(key), len(plan.bins))]
+    # one folded literal, however many bins there are
+    at = F.split(F.lit(",".join(map(str, plan.bins))), ",")[_bin(F.col(group), F.col(key), len(plan.bins))].cast("int")
     if replicate:
         j = j.withColumn("shard", F.explode(F.when(F.col("h_tasks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), shards - 1))))
     else:
