@@ -217,35 +217,85 @@ def concepts(found: DataFrame, lists: DataFrame) -> DataFrame:
     return spark.createDataFrame([(n, top(n)) for n in sorted(root)], "name string, concept string")
 
 
+def lookup(entries: dict, key: Column, kind: str = "string") -> Column:
+    """What a small dictionary of the driver has for ``key``, else null."""
+    known = [F.lit(x) for k, v in entries.items() if v is not None for x in (k, v)]
+    return F.element_at(F.create_map(*known), key) if known else F.lit(None).cast(kind)
+
+
+def code_widths(raw: DataFrame, lists: DataFrame, concept_of: dict[str, str], least: float = 0.9) -> dict[str, int]:
+    """Width of the concepts whose values in files that call them text are digits of one length.
+
+    A number has no leading zeros, so a code retyped to N gets them back from this.
+    """
+    own = lists.select("file", F.explode("kinds").alias("name", "own")).where("own = 'C'").select("file", "name")
+    lengths = (
+        payload_values(raw).where(F.trim("value").rlike(r"\A[0-9]+\z")).join(own, ["file", "name"])
+        .groupBy(lookup(concept_of, F.col("name")).alias("concept"), F.length(F.trim("value")).alias("width")).agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("concept").agg(F.max_by("width", "n").alias("width"), (F.max("n") / F.sum("n")).alias("share"))
+    )
+    return {r["concept"]: r["width"] for r in lengths.where(F.col("share") >= least).collect()}
+
+
+def plain(value: Column, own: Column, kind: Column, width: Column) -> Column:
+    """``value`` of a file with letter ``own`` as text that the cast of letter ``kind`` takes; null where it fits none.
+
+    N: a decimal point or comma (points may then group thousands).  D: yyyy-MM-dd,
+    yyyyMMdd or dd/MM/yyyy.  L: what Spark reads as a boolean.  Text: a code
+    that the file calls a number, or of which no letter is known, gets its leading
+    zeros back, a logical value its letter.
+    """
+    number = F.when(value.rlike(r"\A[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?\z"), value).when(
+        value.rlike(r"\A[-+]?([0-9]{1,3}([.][0-9]{3})+|[0-9]*),[0-9]+\z"), F.translate(value, ",.", ".")
+    )
+    form = F.when(value.rlike(r"\A[0-9]{8}\z"), "yyyyMMdd").when(value.rlike(r"\A[0-9]{2}/[0-9]{2}/[0-9]{4}\z"), "dd/MM/yyyy")
+    form = form.when(value.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), "yyyy-MM-dd")
+    day = F.coalesce(*(F.when(form == f, F.try_to_timestamp(value, F.lit(f))) for f in ("yyyyMMdd", "dd/MM/yyyy", "yyyy-MM-dd"))).cast("date").cast("string")
+    code = F.when((own.isNull() | (own == "N")) & value.rlike(r"\A[0-9]+\z") & (F.length(value) < width), F.lpad(value, width, "0"))
+    code = code.when((own == "L") & value.try_cast("boolean").isNotNull(), F.when(value.try_cast("boolean"), "T").otherwise("F"))
+    return F.when(kind == "N", number).when(kind == "D", day).when(kind == "L", F.when(value.try_cast("boolean").isNotNull(), value)).otherwise(F.coalesce(code, value))
+
+
 def consistent(raw: DataFrame, metadata: DataFrame) -> DataFrame:
-    """All raw records in one table: (file, line_no, readable, one column per concept).
+    """All raw records in one table: (file, line_no, readable, one column per concept, rejects).
 
     Each file's fields pass the rename rules to their concept, default to null where
-    the file lacks them, and are cast by the letter most files give the concept:
-    N double, D date, L boolean, otherwise trimmed text.  A value that does not fit
-    the cast becomes null.
+    the file lacks them, and are cast from the file's own letter to the letter most
+    files give the concept: N double, D date, L boolean, otherwise trimmed text.
+    ``rejects`` keeps as (name, value) what has no place in a column: values that fit
+    no cast, fields in no list, a second field of the same concept, and the whole of
+    an unreadable payload (its name is empty).
     """
-    lists = current_lists(metadata)
+    lists = durable(current_lists(metadata))
     names = concepts(changes(metadata, raw), lists)
     letter = (
         lists.select(F.explode("kinds").alias("name", "kind")).join(F.broadcast(names), "name").groupBy("concept", "kind").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("concept").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind")).orderBy("concept").collect()
     )
-    parsed = F.from_json("payload", "map<string,string>")
-    lines = raw.select(canonical_file(F.col("file")).alias("file"), "line_no", "payload").dropDuplicates().withColumn("m", parsed)
-    upper = F.transform_keys("m", lambda k, _: F.upper(F.trim(k)))
-    lines = lines.select("file", "line_no", F.col("m").isNotNull().alias("readable"), upper.alias("m"))
-    by: dict[str, list[str]] = {}
-    for r in names.collect():
-        by.setdefault(r["concept"], []).append(r["name"])
-
-    def value(concept: str, kind: str | None) -> Column:
-        v = F.coalesce(*(F.element_at("m", n) for n in sorted(by[concept], key=lambda n: (n != concept, n))))
-        v = F.nullif(F.trim(v), F.lit(""))
-        if kind == "N":
-            return v.try_cast("double")
-        if kind == "D":
-            return F.coalesce(v.try_cast("date"), F.try_to_timestamp(v, F.lit("yyyyMMdd")).cast("date"))
-        return v.try_cast("boolean") if kind == "L" else v
-
-    return lines.select("file", "line_no", "readable", *(value(r["concept"], r["kind"]).alias(r["concept"]) for r in letter))
+    concept_of = {r["name"]: r["concept"] for r in names.collect()}
+    kind_of = {r["concept"]: r["kind"] for r in letter}
+    width_of = code_widths(raw, lists, concept_of)
+
+    lines = raw.select(canonical_file(F.col("file")).alias("file"), "line_no", "payload").dropDuplicates().withColumn("m", F.from_json("payload", "map<string,string>"))
+    lines = lines.join(lists.select("file", "kinds"), "file", "left")
+
+    def field(e: Column) -> Column:
+        name, value = F.upper(F.trim(e["key"])), F.trim(e["value"])
+        concept = lookup(concept_of, name)
+        fits = plain(value, F.element_at("kinds", name), lookup(kind_of, concept), lookup(width_of, concept, "int"))
+        fits = F.when(concept.isNotNull(), fits)
+        return F.struct(concept.alias("concept"), fits.isNull().alias("out"), (name != concept).alias("other"), name.alias("name"), fits.alias("fits"), value.alias("value"))
+
+    there = F.filter(F.map_entries("m"), lambda e: F.trim(e["value"]) != "")
+    fields = lines.select("file", "line_no", "payload", F.col("m").isNotNull().alias("readable"), F.array_sort(F.transform(there, field)).alias("fields"))
+    # sorted by concept, what fits first: the first of each concept is the column's
+    second = F.transform("fields", lambda e, i: F.struct(e.alias("e"), (e["out"] | ((i > 0) & F.get(F.col("fields"), i - 1)["concept"].eqNullSafe(e["concept"]))).alias("left")))
+    split = fields.select("file", "line_no", "payload", "readable", second.alias("s"))
+    reject = F.transform(F.filter("s", lambda x: x["left"]), lambda x: F.struct(x["e"]["name"].alias("name"), x["e"]["value"].alias("value")))
+    whole = F.array(F.struct(F.lit("").alias("name"), F.col("payload").alias("value")))
+    rejects = F.when(~F.col("readable") & (F.trim("payload") != ""), whole).otherwise(F.coalesce(reject, F.expr("cast(array() as array<struct<name:string,value:string>>)")))
+    taken = F.map_from_entries(F.transform(F.filter("s", lambda x: ~x["left"]), lambda x: F.struct(x["e"]["concept"], x["e"]["fits"])))
+    out = split.select("file", "line_no", "readable", taken.alias("taken"), rejects.alias("rejects"))
+    types = {"N": "double", "D": "date", "L": "boolean"}
+    columns = (F.element_at("taken", r["concept"]).cast(types.get(r["kind"], "string")).alias(r["concept"]) for r in letter)
+    return out.select("file", "line_no", "readable", *columns, "rejects")

@@ -101,6 +101,27 @@ def test_drift(spark):
     assert drift.versions(drift.current_lists(meta)).count() == 5
 
 
+def test_one_table_keeps_every_value(spark):
+    """Retyped values come out cast by their file's letter; what fits no cast is kept beside."""
+    f = [f"n0/PASP23{m:02d}.dbc" for m in range(1, 8)]
+    letters = lambda d, n, c, e="L": [("DAY", d), ("VALUE", n), ("CODE", c), ("FLAG", e)]
+    meta = lists(spark, [(x, None if x == f[6] else letters("C", "C", "N", "C") if x == f[4] else letters("D", "N", "C"), T0) for x in f])
+    plain = {"DAY": "2023-01-31", "VALUE": 25.02, "CODE": "0071", "FLAG": True}
+    raw = raws(spark, {
+        **{x: [plain] * 3 for x in f[:4]},
+        f[4]: [{"DAY": "31/01/2023", "VALUE": "25,02", "CODE": 71, "FLAG": "T"}, {"DAY": "20230131", "VALUE": "0000025.02", "CODE": "71", "FLAG": "t"}],
+        f[5]: [{"DAY": "31/02/2023", "VALUE": "1.025,02", "CODE": "A1", " other ": "kept"}, {"DAY": "soon", "VALUE": "12 kg", "CODE": " ", "code": "0071", "FLAG": "maybe"}, '{"DAY": "20'],
+        f[6]: [{"CODE": 71, "DAY": None, "VALUE": ""}],
+    })
+    rows = drift.consistent(raw, meta).collect()
+    got = {(r.file, r.line_no): (r.DAY and str(r.DAY), r.VALUE, r.CODE, r.FLAG, [tuple(x) for x in r.rejects]) for r in rows}
+    whole = ("2023-01-31", 25.02, "0071", True, [])
+    assert all(got[x, i] == whole for x in f[:4] for i in range(3)) and got[f[4], 0] == got[f[4], 1] == whole
+    assert got[f[5], 0][:4] == (None, 1025.02, "A1", None) and sorted(got[f[5], 0][4]) == [("DAY", "31/02/2023"), ("OTHER", "kept")]
+    assert got[f[5], 1][:4] == (None, None, "0071", None) and sorted(got[f[5], 1][4]) == [("DAY", "soon"), ("FLAG", "maybe"), ("VALUE", "12 kg")]
+    assert got[f[5], 2] == (None, None, None, None, [("", '{"DAY": "20')]) and got[f[6], 0] == (None, None, "0071", None, [])
+
+
 def test_drift_of_nothing(spark):
     empty, none = lists(spark, []), raws(spark, {})
     assert drift.changes(empty, none).count() == 0
