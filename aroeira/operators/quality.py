@@ -153,6 +153,15 @@ def with_previous(loads: DataFrame, load: str) -> DataFrame:
     return named.withColumn("prev", F.lag(load).over(w))
 
 
+def exact_text(df: DataFrame, column: str) -> Column:
+    """The exact value of any column as text, null if missing; both zeros of a float are one value."""
+    c = F.col(f"`{column}`")
+    if dict(df.dtypes)[column] in ("double", "float"):
+        c = c + F.lit(0.0)
+    text = c.cast("string")
+    return F.when(F.trim(text) != "", text)
+
+
 def histogram(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
     """(load, column_name, value, n) over exact values, a missing value as null."""
     pairs = F.array(
@@ -242,6 +251,15 @@ def profile(records: DataFrame, load: str = "file", key: str = "rec_id", rules:
     return s.select(load, "column_name", "records", "missing", "broken", "low", "high", F.hll_sketch_estimate("sketch").alias("distinct_values"))
 
 
+def distinct_values(records: DataFrame, load: str = "file", columns: Sequence[str] = tuple(r.name for r in RECORD_RULES)) -> DataFrame:
+    """(load, column_name, distinct_values): how many values differ, counted exactly.
+
+    Repeated rows add no value, so records need not be taken once; missing values do not count.
+    """
+    seen = records.select(load, F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), exact_text(records, c).alias("value")) for c in columns))).alias("p")).select(load, "p.*").distinct()
+    return seen.groupBy(load, "column_name").agg(F.count("value").alias("distinct_values"))
+
+
 def control_limits(metrics: DataFrame, load: str, value: str, sigmas: float = 3.0, least: int = 4, floor: float = 0.02) -> DataFrame:
     """Loads whose ``value`` lies outside the limits of the loads before it in its series.
 

@@ -27,15 +27,29 @@ def p1_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("column_name").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"))
 
 
-def p1_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The profile of all records, merged from the states of two halves profiled apart."""
+def p1_load_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values of each column differ in each load, exactly."""
+    return quality.distinct_values(table(spark, sf_dir, "sia_records", "file", *(r.name for r in quality.RECORD_RULES)))
+
+
+def _merged_halves(spark: SparkSession, sf_dir: str, sketch: bool) -> DataFrame:
     records = quality.once(table(spark, sf_dir, "sia_records"), "rec_id", ["file", *(r.name for r in quality.RECORD_RULES)])
     early = F.coalesce(F.col("competencia") < "202301", F.lit(False))
-    parts = [quality.states(records.where(c), "file", quality.RECORD_RULES, sketch=False) for c in (early, ~early)]
+    parts = [quality.states(records.where(c), "file", quality.RECORD_RULES, sketch=sketch) for c in (early, ~early)]
     numeric = ("idade", "qt_aprov", "vl_aprov")
     return quality.merge_states(*parts, load="file", numeric=numeric)
 
 
+def p1_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of all records, merged from the states of two halves profiled apart."""
+    return _merged_halves(spark, sf_dir, sketch=False)
+
+
+def p1_incremental_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p1_incremental`` with the halves' sketches merged too: estimated distinct values per load and column."""
+    return _merged_halves(spark, sf_dir, sketch=True).withColumn("distinct_values", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
 def p1_control_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads whose missing share lies outside the control limits of the loads before."""
     records = table(spark, sf_dir, "sia_records")
@@ -80,7 +94,7 @@ def p3_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_profile, p1_distinct, p1_incremental, p1_control_limits, p2_found, p2_versions, p2_table, p3_found, p3_per_key, p3_join)
+    for f in (p1_found, p1_profile, p1_distinct, p1_load_distinct, p1_incremental, p1_incremental_distinct, p1_control_limits, p2_found, p2_versions, p2_table, p3_found, p3_per_key, p3_join)
 }
 
 _ONCE = "d AS (SELECT rec_id, file, {cols} FROM sia_records GROUP BY ALL)"
@@ -120,6 +134,11 @@ def _profile_sql() -> str:
     return f"WITH {_ONCE.format(cols=cols)} " + " UNION ALL ".join(parts)
 
 
+def _distinct_sql() -> str:
+    there = {c: c if c in _NUMERIC else f"CASE WHEN trim({c}, ' ') <> '' THEN {c} END" for c in _FORM}
+    return " UNION ALL ".join(f"SELECT file, '{c}' AS column_name, count(DISTINCT {v}) AS distinct_values FROM sia_records GROUP BY file" for c, v in there.items())
+
+
 _FOUND_COLS = "sexo, cges, tpfin"
 ORACLE = {
     "p1_found": f"""WITH {_ONCE.format(cols=_FOUND_COLS)}, {_SERIES}, {_HIST},
@@ -134,6 +153,7 @@ ORACLE = {
         GROUP BY file, column_name, k, pk HAVING 10 * sum(y) > 8 * k * pk""",
     "p1_profile": _profile_sql(),
     "p1_incremental": _profile_sql(),
+    "p1_load_distinct": _distinct_sql(),
     "p1_control_limits": f"""WITH {_ONCE.format(cols=_FOUND_COLS)}, {_SERIES}, {_HIST},
       m AS (SELECT t.file, column_name, m / r AS x, series FROM t JOIN s USING (file)),
       w AS (SELECT *, count(*) OVER k AS history, avg(x) OVER k AS c, greatest(3 * stddev_pop(x) OVER k, 0.02) AS lim FROM m

@@ -61,6 +61,17 @@ def test_states_merge_to_the_whole(spark):
     assert all(abs(r[0] - 333) < 20 for r in est)
 
 
+def test_distinct_values_of_each_load(spark, data):
+    rows = [("a", "M", 1.5), ("a", "M", 1.5), ("a", "m", -0.0), ("a", " ", 0.0), ("a", None, None), ("b", None, 2.0), (None, "F", 2.0)]
+    df = spark.createDataFrame(rows, "file string, sexo string, v double")
+    got = bag(quality.distinct_values(df, columns=["sexo", "v"]))
+    assert got == sorted([("a", "sexo", 2), ("a", "v", 2), ("b", "sexo", 0), ("b", "v", 1), (None, "sexo", 1), (None, "v", 1)], key=repr)
+    exact = {(r.file, r.column_name): r.distinct_values for r in core_queries.p1_load_distinct(spark, data).collect()}
+    merged = {(r.file, r.column_name): r.distinct_values for r in core_queries.p1_incremental_distinct(spark, data).collect()}
+    assert exact.keys() == merged.keys() and {c for _, c in exact} == {r.name for r in quality.RECORD_RULES}
+    assert all(abs(merged[k] - n) <= max(1, 0.07 * n) for k, n in exact.items())
+
+
 def test_control_limits(spark):
     rows = [(f"n0/PASP23{m:02d}.dbc", "sexo", 0.05 if m != 9 else 0.5) for m in range(1, 12)]
     m = spark.createDataFrame(rows, "file string, column_name string, share double")
