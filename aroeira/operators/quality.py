@@ -220,6 +220,61 @@ def changes(hist: DataFrame, load: str, jump: str = "0.2", shift: str = "0.4", l
     )
 
 
+#: How values of columns that are near unique, or follow the calendar, are compared between loads; others exactly.
+COMPARED = {"competencia": "months", "dt_atend": "months", "coduni": "code", "cns_pac": "code", "idade": "decade", "vl_aprov": "power"}
+
+
+def compared(df: DataFrame, load: str, column: str) -> Column:
+    """The class in which the shift of ``column`` is tested, null if missing.
+
+    Exact values of these columns differ between any two loads, whatever they hold.
+    ``months``: the month, which :func:`apart` counts from the load's own; ``code``: the first
+    character and one of 2 bins by hash, few enough classes that loads of a few hundred records agree;
+    ``decade``; ``power``: of 2.  A value without a class stands for itself.
+    """
+    text, c, how = exact_text(df, column), F.col(f"`{column}`"), COMPARED.get(column)
+    if how == "months":
+        return F.when(text.rlike(r"\A[0-9]{4}(0[1-9]|1[0-2])([0-9]{2})?\z"), F.substring(c, 1, 6)).otherwise(text)
+    if how == "code":
+        return F.when(text.isNotNull(), F.concat(F.substring(text, 1, 1), F.lit("#"), F.pmod(F.xxhash64(text), F.lit(2)).cast("string")))
+    if how == "decade":
+        return F.floor(c / 10).cast("string")
+    if how == "power":
+        return F.when((c > 0) & (c < float("inf")), F.floor(F.log2(c)).cast("string")).when(c < 0, "negative").otherwise(text)
+    return text
+
+
+def apart(load: str) -> Column:
+    """The class of a (load, column_name, value) row, a month as the months since the load's own."""
+    yymm, value = F.regexp_extract(F.col(load), SERIES_PATTERN, 2), F.col("value")
+    months = lambda y, m: y.try_cast("int") * 12 + m.try_cast("int")
+    own = months(F.concat(F.lit("20"), F.substring(yymm, 1, 2)), F.substring(yymm, 3, 2))
+    since = (months(F.substring(value, 1, 4), F.substring(value, 5, 2)) - own).cast("string")
+    dated = F.col("column_name").isin(*(c for c, how in COMPARED.items() if how == "months"))
+    return F.when(dated & value.rlike(r"\A[0-9]{4}(0[1-9]|1[0-2])\z"), F.coalesce(since, value)).otherwise(value)
+
+
+def departures(records: DataFrame, load: str = "file", key: str = "rec_id", rules: Sequence[ColumnRule] = RECORD_RULES) -> DataFrame:
+    """(case_kind, load, column_name) where a load departs from the one before it, over every rule's column.
+
+    ``missing_jump`` and ``broken_jump``: the share of records without a value, or with one
+    that breaks its form; ``shift``: the distribution of the :func:`compared` values.
+    """
+    kinds = dict(records.dtypes)
+    unique = once(records, key, [load, *(r.name for r in rules)])
+    entries = F.array(
+        *(
+            F.struct(F.lit(r.name).alias("column_name"), compared(unique, load, r.name).alias("value"), (~r.missing(kinds[r.name]) & ~r.well_formed()).alias("broken"))
+            for r in rules
+        )
+    )
+    hist = unique.select(load, F.explode(entries).alias("p")).groupBy(load, "p.column_name", "p.value", "p.broken").agg(F.count(F.lit(1)).alias("n"))
+    hist = durable(hist.withColumn("value", apart(load)))
+    form = hist.groupBy(load, "column_name", F.when(~F.col("broken"), "kept").alias("value")).agg(F.sum("n").alias("n"))
+    broken = changes(form, load).where("case_kind = 'missing_jump'").withColumn("case_kind", F.lit("broken_jump"))
+    return changes(hist.drop("broken"), load).unionByName(broken)
+
+
 def violations(df: DataFrame, load: str, key: str, rules: Sequence[ColumnRule]) -> DataFrame:
     """One row per record and column whose value is there but breaks its form."""
     kinds = dict(df.dtypes)
@@ -278,3 +333,21 @@ def control_limits(metrics: DataFrame, load: str, value: str, sigmas: float = 3.
     return h.where((F.col("history") >= least) & (F.abs(F.col(value) - F.col("center")) > F.col("width"))).select(
         load, "column_name", F.col(value).alias("observed"), "center", "width", "history"
     )
+
+
+def limits_of_states(records: DataFrame, load: str = "file", key: str = "rec_id", rules: Sequence[ColumnRule] = RECORD_RULES) -> DataFrame:
+    """(load, column_name, metric, observed, history) outside the control limits, for every rule's column.
+
+    Metrics: missing share, broken share, and the distinct count, tested as a logarithm
+    so that its limits are in proportion (a tenth at least).
+    """
+    s = states(once(records, key, [load, *(r.name for r in rules)]), load, rules)
+    s = durable(s.select(load, "column_name", "records", "missing", "broken", F.hll_sketch_estimate("sketch").alias("distinct")))
+    share = lambda c: F.col(c) / F.col("records")
+    tested = (("missing_share", share("missing"), 0.02), ("broken_share", share("broken"), 0.02), ("distinct_values", F.log1p("distinct"), 0.1))
+    parts = [
+        control_limits(s.select(load, "column_name", value.alias(metric)), load, metric, floor=floor).select(load, "column_name", F.lit(metric).alias("metric"), "observed", "history")
+        for metric, value, floor in tested
+    ]
+    plain = F.when(F.col("metric") == "distinct_values", F.round(F.expm1("observed"))).otherwise(F.round("observed", 6))
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("observed", plain)

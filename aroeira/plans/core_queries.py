@@ -60,6 +60,16 @@ def p1_control_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p1_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jumps of the missing and the broken share and shifts, for every column of the records."""
+    return quality.departures(table(spark, sf_dir, "sia_records"))
+
+
+def p1_limits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing share, broken share and distinct count of every column outside their control limits."""
+    return quality.limits_of_states(table(spark, sf_dir, "sia_records"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(table(spark, sf_dir, "file_metadata"), table(spark, sf_dir, "raw_records"))
 
@@ -94,7 +104,7 @@ def p3_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_profile, p1_distinct, p1_load_distinct, p1_incremental, p1_incremental_distinct, p1_control_limits, p2_found, p2_versions, p2_table, p3_found, p3_per_key, p3_join)
+    for f in (p1_found, p1_profile, p1_distinct, p1_load_distinct, p1_incremental, p1_incremental_distinct, p1_control_limits, p1_departures, p1_limits_all, p2_found, p2_versions, p2_table, p3_found, p3_per_key, p3_join)
 }
 
 _ONCE = "d AS (SELECT rec_id, file, {cols} FROM sia_records GROUP BY ALL)"

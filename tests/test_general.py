@@ -78,6 +78,29 @@ def test_control_limits(spark):
     assert bag(quality.control_limits(m, "file", "share").select("file", "history")) == [("n0/PASP2309.dbc", 8)]
 
 
+def test_every_column_is_tested_against_the_loads_before(spark):
+    names = [r.name for r in quality.RECORD_RULES]
+    good = {"sexo": "F", "cges": "01", "tpfin": "060000", "ufmun": "290030", "cboprof": "225125", "qt_aprov": 1}
+    bad = {"coduni": "x", "ufmun": "x", "cboprof": "?", "cns_pac": "x", "competencia": "x", "dt_atend": "x", "idade": -5, "qt_aprov": -1, "vl_aprov": -1.0, "sexo": "x", "cges": "x", "tpfin": "x"}
+    moved = {"coduni": "5000000", "ufmun": "350030", "cboprof": "515105", "cns_pac": "1" * 15, "competencia": "201901", "dt_atend": "20190101", "idade": 90, "qt_aprov": 9, "vl_aprov": 900.0, "sexo": "M", "cges": "02", "tpfin": "070000"}
+
+    def month(m, change=None):
+        for i in range(300):
+            r = good | {"coduni": f"{9100000 + i}", "cns_pac": f"7{m:04d}{i:010d}", "competencia": f"2023{m:02d}", "dt_atend": f"2023{m:02d}{1 + i % 28:02d}", "idade": 20 + i % 9, "vl_aprov": 10 + i / 100}
+            yield (1000 * m + i, f"n0/PASP23{m:02d}.dbc", *((change or r)[c] for c in names))
+
+    kinds = ", ".join(f"{c} {'int' if c in ('idade', 'qt_aprov') else 'double' if c == 'vl_aprov' else 'string'}" for c in names)
+    for change, case, metric in ((dict.fromkeys(names), "missing_jump", "missing_share"), (bad, "broken_jump", "broken_share"), (moved, "shift", "distinct_values")):
+        rows = [r for m in range(1, 6) for r in month(m)] + list(month(6, change))
+        df = spark.createDataFrame(rows, f"rec_id bigint, file string, {kinds}")
+        found = bag(quality.departures(df.unionByName(df)).where(f"case_kind = '{case}'").select("file", "column_name"))
+        assert found == sorted([("n0/PASP2306.dbc", c) for c in names], key=repr), case
+        assert not quality.departures(df).where("file != 'n0/PASP2306.dbc'").count(), "months of one kind do not depart"
+        outside = {(r.file, r.column_name) for r in quality.limits_of_states(df).where(f"metric = '{metric}'").collect()}
+        varied = {"coduni", "cns_pac", "dt_atend", "idade", "vl_aprov"}
+        assert outside == {("n0/PASP2306.dbc", c) for c in names if metric != "distinct_values" or c in varied}, metric
+
+
 def lists(spark, rows):
     f = "array<struct<name:string,type:string,size:int>>"
     return spark.createDataFrame([(a, None if b is None else [(*x, 1) for x in b], c) for a, b, c in rows], f"file string, fields {f}, loaded_at timestamp")
