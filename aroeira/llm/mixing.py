@@ -106,11 +106,15 @@ def cell_weights(cells: DataFrame, targets: DataFrame, total_tokens: float | Non
 
 
 def sized(documents: DataFrame, topics: DataFrame | None = None, path: str = BPE_50K) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens) of every message, tokenized once."""
+    """(doc_id, source, lang, topic, tokens) of every message, tokenized once.
+
+    ``topics`` has a row (doc_id, topic) for each vote; most votes settle, ties go to the first name.
+    """
     counted = token_counts(documents, ["doc_id", "source", "lang"], "text", path)
     if topics is None:
         return counted.withColumn("topic", F.lit(None).cast("string"))
-    one = topics.where("doc_id is not null").groupBy("doc_id").agg(F.min("topic").alias("topic"))
+    votes = topics.where("doc_id is not null and topic is not null").groupBy("doc_id", "topic").agg(F.count(F.lit(1)).alias("n"))
+    one = votes.groupBy("doc_id").agg(F.min_by("topic", F.struct(-F.col("n"), "topic")).alias("topic"))
     return counted.join(one, "doc_id", "left")
 
 

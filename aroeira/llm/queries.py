@@ -33,7 +33,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "subject_labels", "doc_id", "subject").select("doc_id", F.lower("subject").alias("topic"))
+    labels = table(spark, sf_dir, "subject_labels", "doc_id", "subject", "annotator").select("doc_id", F.lower(F.trim("subject")).alias("topic"), "annotator").distinct()
     return durable(mixing.sized(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text"), labels))
 
 

@@ -173,3 +173,9 @@ def test_known_and_unknown_given_names(spark):
     assert {r.given: r.known for r in p.collect()} == {"maria": True, "mariana": True, "marya": False}
     pairs = {(r.x, r.y) for r in entities.links(p).collect()}
     assert not any((a < 4) != (b < 4) for a, b in pairs if 8 not in (a, b)) and (0, 8) in pairs
+
+
+def test_topic_is_that_of_most_votes(spark):
+    documents = spark.createDataFrame([(1, "a", "pt", "um texto"), (2, "a", "pt", "outro"), (3, "a", "pt", "mais um")], "doc_id long, source string, lang string, text string")
+    votes = spark.createDataFrame([(1, "access"), (1, "supply"), (1, "supply"), (2, "supply"), (2, "access"), (None, "access")], "doc_id long, topic string")
+    assert {r.doc_id: r.topic for r in mixing.sized(documents, votes).collect()} == {1: "supply", 2: "access", 3: None}
