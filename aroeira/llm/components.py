@@ -12,7 +12,7 @@ count once; an empty table of pairs gives an empty result; extra columns are ign
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import durable, release
@@ -39,19 +39,20 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.withColumnRenamed("m", "u")).distinct()
 
 
-def _state(e: DataFrame) -> tuple[int, int]:
-    r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _counted(e: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """``e`` written, with the number of its rows and the sum of their hashes, taken while it is written."""
+    seen = Observation()
+    out = durable(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")))
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, group_id) for every end of ``edges`` (v, u with v > u)."""
-    e = durable(edges)
-    state = _state(e)
+    e, state = _counted(edges)
     while state[0]:
-        after = durable(_small_star(_large_star(e)))
+        after, new = _counted(_small_star(_large_star(e)))
         release(e)
-        e, before, state = after, state, _state(after)
+        e, before, state = after, state, new
         if state == before:
             break
     return e.select(F.col("v").alias("node"), F.col("u").alias("group_id")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("group_id")).distinct())

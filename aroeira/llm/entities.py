@@ -2,15 +2,18 @@
 
 Both sources are brought to one writing of names, dates, codes and places.  Sorted
 neighbourhood: the records of both are sorted by several composite keys, and each
-record is compared with the ones that follow it within a window of the order.  A
-comparison adds weighted similarities of name, mother, birth, sex and place.  Strong
-links join records into persons, across and within sources; weaker links between
-persons of one source and persons of the other are then settled by a one-to-one
-assignment that maximises the total confidence.
-
-The order of a key is cut into ranges of about equal size that are processed apart;
-windows across a cut are compared in a second, small step over the rows next to the
-cuts, so no neighbours are lost and no task sorts a whole source.
+record is compared with those in a window of places before it.  A comparison adds
+weighted similarities of name, mother, birth, sex and place.  Strong links inside one
+source make its records *persons of that source*; links between the sources make pairs
+of persons, and a one-to-one assignment that maximises the total confidence settles
+which person of one source is which of the other.  The records of two assigned persons
+come out pair by pair.
+
+All sort orders are laid out by one sort of (key number, key, id); every record then
+carries its place in each order.  Places are dense, so an order falls into blocks of
+equal size however often a key value occurs, the rows before a block go to it as well,
+and no neighbour is lost.  A pair that is near in several orders is scored in the first
+of them only.
 
 Defined results: of a repeated id the latest row counts; a record without id, or with
 neither name nor any other field of a key, takes part in no comparison on that key;
@@ -20,24 +23,25 @@ gives an empty result.
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable, ship
+from ..session import durable, release, ship
 from .components import components, edges_of
 
 WINDOW = 8
-ROWS_PER_RANGE = 20_000
-#: Scores from which a link joins records into one person, and from which it is a candidate.
-STRONG, WEAK = 9.0, 7.5
+ROWS_PER_BLOCK = 20_000
+#: Score from which a link inside a source joins two records into one person of it.
+STRONG = 9.0
+#: Score from which a link between the sources is a candidate.
+WEAK = 7.5
+#: Two records of one source with a strong link to one record of the other are one person from this score on.
+SHARED = 2.0
 #: A given name is known, not a misspelling, if it makes up this share of the records.
 KNOWN_SHARE = 0.0005
 
@@ -62,72 +66,70 @@ class Source:
 COHORT = Source("cohort_id", "nome", "nome_mae", "dt_nasc", "sexo", "uf", "cidade", "endereco", "loaded_at")
 TARGET = Source("target_id", "nome_paciente", "mae", "dt_nascto", "sexo", "uf_res", "munic_res", "endereco", "loaded_at", "idade", True)
 
-# Titles, particles, placeholders, month names, sex codes and street kinds.
-TITLES = {"sr", "sra", "dr", "dra", "d", "dona", "prof", "profa"}
-PARTICLES = {"de", "da", "do", "das", "dos", "e"}
-UNKNOWN = {"", "ignorada", "ignorado", "nao informado", "nao informada", "desconhecida", "desconhecido", "sem informacao", "nan", "null", "none"}
-MONTHS = {m: i for i, m in enumerate("jan fev mar abr mai jun jul ago set out nov dez".split(), 1)}
+# Titles, particles, placeholders, month names, sex codes, street kinds, accented letters.
+TITLES = ("sr", "sra", "dr", "dra", "d", "dona", "prof", "profa", "rn")
+PARTICLES = ("de", "da", "do", "das", "dos", "e")
+UNKNOWN = ("", "ignorada", "ignorado", "nao informado", "nao informada", "desconhecida", "desconhecido", "sem informacao", "nan", "null", "none")
+MONTHS = "jan fev mar abr mai jun jul ago set out nov dez"
 SEXES = {"M": "M", "F": "F", "1": "M", "3": "F"}
-YEARS = range(1850, 2101)
+YEARS = (1850, 2100)
 STREETS = {"r": "rua", "av": "avenida", "trav": "travessa", "tv": "travessa", "est": "estrada", "estr": "estrada"}
+ACCENTS = ("áàâãäåăāéèêëēíìîïīóòôõöōúùûüūçñýÿªº", "aaaaaaaaeeeeeiiiiioooooouuuuucnyyao")
+
+
+def _staged(df: DataFrame, columns: list[str], *steps) -> DataFrame:
+    """Each step in turn over the columns: a projection of its own, so no step is worked out twice."""
+    for step in steps:
+        df = df.withColumns({c: step(F.col(c)) for c in columns})
+    return df
+
+
+def _untwisted(text: Column) -> Column:
+    """UTF-8 that was read as Latin-1 turned back."""
+    back = F.encode(text, "ISO-8859-1").cast("string")
+    return F.when(text.rlike("[ÃÂ]"), F.when(~text.rlike(r"[^\x00-\xff]"), F.when(F.is_valid_utf8(back), back).otherwise(text)).otherwise(text)).otherwise(text)
+
+
+def _split_run_on(text: Column) -> Column:
+    return F.when((F.length(text) > 12) & ~F.trim(text).contains(" "), F.regexp_replace(text, "(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])", " ")).otherwise(text)
 
 
-def plain(text: str | None) -> str:
-    """Lower-case letters and digits without accents; UTF-8 read as Latin-1 turned back."""
-    if not text:
-        return ""
-    if "Ã" in text or "Â" in text:
-        try:
-            text = text.encode("latin-1").decode("utf-8")
-        except UnicodeError:
-            pass
-    text = unicodedata.normalize("NFKD", text)
-    return " ".join(re.sub(r"[^a-z0-9,]+", " ", "".join(c for c in text if not unicodedata.combining(c)).lower()).split())
-
-
-def name_tokens(text: str | None) -> list[str]:
-    """Tokens of a name, given name first, without titles and particles."""
-    if text and " " not in text.strip() and len(text) > 12:
-        text = re.sub(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])", " ", text)
-    p = plain(text)
-    if p in UNKNOWN:
-        return []
-    if "," in p:
-        last, _, given = p.partition(",")
-        p = f"{given} {last}".replace(",", " ")
-    tokens = [t for t in p.split() if t not in PARTICLES and not t.isdigit()]
-    while len(tokens) > 1 and tokens[0] in TITLES:
-        tokens = tokens[1:]
-    return tokens
-
-
-def birth_parts(text: str | None, day_first: bool) -> tuple[int | None, int | None, int | None]:
-    """Year, month and day as far as written; a year of two digits stays below 100."""
-    s = (text or "").strip().lower()
-    if re.fullmatch(r"[0-9]{8}", s):
-        y, m, d = (s[4:], s[2:4], s[:2]) if day_first else (s[:4], s[4:6], s[6:])
-    elif x := re.fullmatch(r"([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", s):
-        y, m, d = x.groups()
-    elif x := re.fullmatch(r"([0-9]{1,2})[-/. ]([0-9]{1,2}|[a-z]{3})[a-z]*[-/. ]([0-9]{4}|[0-9]{2})", s):
-        d, m, y = x.groups()
-    elif re.fullmatch(r"[0-9]{4}", s):
-        return (int(s) if int(s) in YEARS else None), None, None
-    else:
-        return None, None, None
-    month = int(m) if m.isdigit() else MONTHS.get(m, 0)
-    if not 1 <= month <= 12 or not 1 <= int(d) <= 31 or (len(y) == 4 and int(y) not in YEARS):
-        return (int(y) if int(y) in YEARS else None), None, None
-    return int(y), month, int(d)
-
-
-FIELDS = (
-    "side string, id bigint, given string, last string, compact string, tokens array<string>, m_given string, m_last string, m_compact string, "
-    "m_tokens array<string>, y int, y2 int, m int, d int, sex string, uf string, city string, street string, number string, by_age int"
-)
+def _bare(text: Column) -> Column:
+    """Lower-case letters and digits without accents, single spaces."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), *ACCENTS), "[^a-z0-9,]+", " "))
+
+
+def plain(df: DataFrame, columns: list[str]) -> DataFrame:
+    return _staged(df, columns, _untwisted, lambda c: F.when(c.rlike(r"\p{M}"), F.regexp_replace(c, r"\p{M}+", "")).otherwise(c), _bare)
+
+
+def name_tokens(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Tokens of names, given name first, without titles and particles."""
+    known = lambda p: F.when(~p.isin(*UNKNOWN), p).otherwise("")
+    turned = lambda p: F.when(p.contains(","), F.regexp_replace(p, r"\A([^,]*),(.*)\z", "$2 $1")).otherwise(p)
+    words = lambda p: F.filter(F.split(F.translate(p, ",", " "), " "), lambda t: (t != "") & ~t.isin(*PARTICLES) & t.rlike("[a-z]"))
+    first = lambda p: F.array_position(F.transform(p, lambda t: t.isin(*TITLES)), F.lit(False))
+    untitled = lambda p: F.when(F.get(p, F.lit(0)).isin(*TITLES), F.when(first(p) > 0, F.slice(p, first(p).cast("int"), F.size(p))).otherwise(F.slice(p, -1, 1))).otherwise(p)
+    rest = _staged(plain(_staged(df, columns, _split_run_on), columns), columns, known, turned, words, untitled)
+    return rest.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in columns})
+
+
+def with_birth(df: DataFrame, day_first: bool) -> DataFrame:
+    """Adds ``y``, ``m``, ``d`` of ``birth`` as far as written; a year of two digits stays below 100."""
+    eight = r"\A([0-9]{2})([0-9]{2})([0-9]{4})\z" if day_first else r"\A([0-9]{4})([0-9]{2})([0-9]{2})\z"
+    iso, local = r"\A([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})\z", r"\A([0-9]{1,2})[-/. ]([0-9]{1,2}|[a-z]{3})[a-z]*[-/. ]([0-9]{4}|[0-9]{2})\z"
+    s = F.col("birth")
+    pieces = F.when(s.rlike(eight), F.regexp_replace(s, eight, "$3-$2-$1" if day_first else "$1-$2-$3")).when(s.rlike(iso), F.regexp_replace(s, iso, "$1-$2-$3")).when(s.rlike(local), F.regexp_replace(s, local, "$3-$2-$1"))
+    df = df.withColumn("birth", F.lower(F.trim("birth"))).withColumn("ymd", F.split(pieces, "-"))
+    month = F.coalesce(F.get("ymd", F.lit(1)).try_cast("int"), F.floor((F.instr(F.lit(MONTHS), F.get("ymd", F.lit(1))) + 3) / 4).cast("int"))
+    df = df.withColumns({"y": F.get("ymd", F.lit(0)).cast("int"), "m": month, "d": F.get("ymd", F.lit(2)).cast("int"), "alone": F.when(F.length(s) == 4, s.try_cast("int"))})
+    df = df.withColumn("whole", F.col("m").between(1, 12) & F.col("d").between(1, 31) & ((F.length(F.get("ymd", F.lit(0))) < 4) | F.col("y").between(*YEARS)))
+    kept = F.when(F.col("whole"), F.col("y")).otherwise(F.coalesce(F.when(F.col("y").between(*YEARS), F.col("y")), F.when(F.col("alone").between(*YEARS), F.col("alone"))))
+    return df.withColumns({"y": kept, "m": F.when(F.col("whole"), F.col("m")), "d": F.when(F.col("whole"), F.col("d"))}).drop("ymd", "alone", "whole")
 
 
 def normalised(df: DataFrame, source: Source, side: str) -> DataFrame:
-    """One row per id with the fields of ``FIELDS``."""
+    """One row per id with the fields that comparisons use."""
     cols = [source.key, source.name, source.mother, source.birth, source.sex, source.state, source.city, source.address]
     slim = df.where(F.col(source.key).isNotNull()).select(
         *(F.col(c).cast("bigint" if c == source.key else "string") for c in cols),
@@ -138,33 +140,26 @@ def normalised(df: DataFrame, source: Source, side: str) -> DataFrame:
     body = F.struct("name", "mother", "birth", "sex", "uf", "city", "address", "age", F.year("loaded").alias("year"))
     latest = slim.groupBy("id").agg(F.max_by(body, F.struct(F.col("loaded"), F.xxhash64(body).alias("tie"))).alias("b")).select("id", "b.*")
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                t, mt = name_tokens(r["name"]), name_tokens(r["mother"])
-                y, m, d = birth_parts(r["birth"], source.day_first)
-                a = plain(r["address"]).replace(",", " ").split()
-                number = a.pop() if len(a) > 1 and a[-1].isdigit() else None
-                if a and a[0] in STREETS:
-                    a[0] = STREETS[a[0]]
-                out.append(
-                    {
-                        "side": side, "id": r["id"], "given": t[0] if t else None, "last": t[-1] if len(t) > 1 else None, "compact": "".join(t) or None, "tokens": t,
-                        "m_given": mt[0] if mt else None, "m_last": mt[-1] if len(mt) > 1 else None, "m_compact": "".join(mt) or None, "m_tokens": mt,
-                        "y": y, "y2": None if y is None else y % 100, "m": m, "d": d, "sex": SEXES.get((r["sex"] or "").strip().upper()),
-                        "uf": (r["uf"] or "").strip().upper() or None, "city": plain(r["city"]).replace(" ", "") or None, "street": "".join(a) or None,
-                        "number": number, "by_age": r["year"] - r["age"] if r["age"] is not None and r["year"] and 0 <= r["age"] <= 120 else None,
-                    }
-                )
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    ship(df.sparkSession)
-    schema = to_arrow_schema(_parse_datatype_string(FIELDS))
-    return latest.mapInArrow(run, FIELDS)
+    filled = lambda c: F.when(c != "", c)
+    latest = with_birth(name_tokens(plain(latest, ["city", "address"]), ["name", "mother"]), source.day_first)
+    words = F.filter(F.split(F.translate("address", ",", " "), " "), lambda w: w != "")
+    code = F.upper(F.trim("sex"))
+    parsed = latest.select(
+        "id", F.col("name").alias("t"), F.col("mother").alias("mt"), "y", "m", "d", words.alias("a"),
+        reduce(lambda c, x: c.when(code == x[0], x[1]), list(SEXES.items())[1:], F.when(code == "M", "M")).alias("sex"),
+        filled(F.upper(F.trim("uf"))).alias("uf"), filled(F.translate("city", " ", "")).alias("city"),
+        F.when(F.col("age").between(0, 120), F.col("year") - F.col("age")).alias("by_age"),
+    )
+    numbered = (F.size("a") > 1) & F.element_at("a", -1).rlike(r"\A[0-9]+\z")
+    kinds = F.create_map(*(F.lit(x) for k in STREETS.items() for x in k))
+    named = F.when(numbered, F.slice("a", 1, F.size("a") - 1)).otherwise(F.col("a"))
+    street = F.transform(named, lambda w, i: F.when(i == 0, F.coalesce(kinds[w], w)).otherwise(w))
+    last = lambda c: F.when(F.size(c) > 1, F.element_at(c, -1))
+    return parsed.select(
+        F.lit(side).alias("side"), "id", F.get("t", F.lit(0)).alias("given"), last("t").alias("last"), filled(F.array_join("t", "")).alias("compact"), F.col("t").alias("tokens"),
+        F.get("mt", F.lit(0)).alias("m_given"), last("mt").alias("m_last"), filled(F.array_join("mt", "")).alias("m_compact"), F.col("mt").alias("m_tokens"),
+        "y", (F.col("y") % 100).alias("y2"), "m", "d", "sex", "uf", "city", filled(F.array_join(street, "")).alias("street"), F.when(numbered, F.element_at("a", -1)).alias("number"), "by_age",
+    )
 
 
 def with_known_names(people: DataFrame) -> DataFrame:
@@ -191,41 +186,73 @@ def sort_keys() -> dict[str, Column]:
     }
 
 
+def places(people: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """(id, at): each record's dense place in the order of every key, null where it has no key.
+
+    One sort by (key number, key, id): the range partitioner cuts on all three, so rows
+    of one key value spread too.  A place is the partition's first place plus the row's number in it.
+    """
+    spark = people.sparkSession
+    named = F.array(*(F.struct(F.lit(i).alias("k"), c.alias("key")) for i, c in enumerate(keys.values())))
+    entries = people.select("id", F.inline(named)).where("key is not null")
+    ordered = durable(entries.orderBy("k", "key", "id").select("id", "k", F.monotonically_increasing_id().alias("row")))
+    part, row = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one line per partition
+    before = np.concatenate([[0], np.cumsum([r["n"] for r in counts])]).tolist()
+    starts = spark.createDataFrame([(r["part"], b) for r, b in zip(counts, before)], "part bigint, start bigint")
+    placed = ordered.select("id", "k", part.alias("part"), row.alias("row")).join(F.broadcast(starts), "part").select("id", "k", (F.col("start") + F.col("row")).alias("place"))
+    return placed.groupBy("id").agg(F.array(*(F.max(F.when(F.col("k") == i, F.col("place"))) for i in range(len(keys)))).alias("at"))
+
+
+def neighbours(people: DataFrame, keys: dict[str, Column], window: int = WINDOW, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """(a, b): record structs at most ``window`` places apart in the order of a key, each pair once.
+
+    An order falls into blocks of ``rows_per_block`` places; the ``window`` rows before a
+    block are sent to it too, to be met but not to meet.  A pair near in an earlier order
+    is left out of the later ones, so pairs are neither stored nor made distinct.
+    """
+    block = max(rows_per_block, window)
+    rows = people.join(places(people, keys), "id")
+    p = F.struct(*people.columns, "at")
+    k = F.filter(F.sequence(F.lit(0), F.lit(len(keys) - 1)), lambda i: F.get("at", i).isNotNull())
+    rows = rows.select(p.alias("p"), F.explode(k).alias("k")).withColumn("place", F.get("p.at", F.col("k")))
+    own, over = F.floor(F.col("place") / block), F.col("place") % block >= block - window
+    homes = F.array_compact(F.array(F.struct(own.alias("block"), F.lit(True).alias("own")), F.when(over, F.struct((own + 1).alias("block"), F.lit(False).alias("own")))))
+    rows = rows.select("p", "k", "place", F.inline(homes))
+    order = Window.partitionBy("block").orderBy("place")
+    met = F.collect_list(F.struct("k", "p")).over(order.rowsBetween(-window, -1))
+    pairs = rows.withColumn("met", met).where("own").select("k", F.col("p").alias("b"), F.explode("met").alias("m")).select("k", F.col("m.k").alias("mk"), F.col("m.p").alias("a"), "b")
+    near = lambda i: F.coalesce(F.abs(F.get("a.at", F.lit(i)) - F.get("b.at", F.lit(i))) <= window, F.lit(False))
+    seen = reduce(lambda x, i: x | ((F.col("k") > i) & near(i)), range(len(keys) - 1), F.lit(False))
+    return pairs.where((F.col("k") == F.col("mk")) & ~seen).select("a", "b")
+
+
 def similar(a: Column, b: Column) -> Column:
     """1 for equal texts, falling with the edit distance; null if one is missing."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    return F.when(a == b, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
+
 
+def _both(field: str) -> Column:
+    return F.col(f"a.{field}").isNotNull() & F.col(f"b.{field}").isNotNull()
 
-def pair_score(a: str, b: str) -> tuple[Column, Column]:
-    """(may be one person, score) of the record structs ``a`` and ``b``."""
-    A, B = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
-    both = lambda f: A(f).isNotNull() & B(f).isNotNull()
+
+def _equal(field: str) -> Column:
+    return F.coalesce(F.col(f"a.{field}") == F.col(f"b.{field}"), F.lit(False))
+
+
+def same_given() -> Column:
+    """Whether the given names of a and b may be one name; two known names that differ are not."""
+    A, B = (lambda f: F.col(f"a.{f}")), (lambda f: F.col(f"b.{f}"))
     initial = ((F.length(A("given")) == 1) | (F.length(B("given")) == 1)) & (F.substring(A("given"), 1, 1) == F.substring(B("given"), 1, 1))
-    given_near = (A("given") == B("given")) | initial | (~(A("known") & B("known")) & (similar(A("given"), B("given")) >= 0.66))
+    letters = lambda x: F.array_sort(F.split(x("given"), ""))
+    misspelt = (similar(A("given"), B("given")) >= 0.66) | ((F.length(A("given")) == F.length(B("given"))) & (letters(A) == letters(B)))
+    near = (A("given") == B("given")) | initial | (~(A("known") & B("known")) & misspelt)
     run_together = A("compact").startswith(B("given")) | B("compact").startswith(A("given"))
-    given_ok = F.coalesce(given_near, F.lit(False)) | (F.coalesce(run_together, F.lit(False)) & (F.col(f"{a}.last").isNull() | F.col(f"{b}.last").isNull()))
-    whole = F.when(A("compact") == B("compact"), 1.0).otherwise(similar(A("compact"), B("compact")))
-    last_ok = F.coalesce(similar(A("last"), B("last")) >= 0.75, F.lit(False))
-    rest = lambda f: (F.array_remove(A(f), A(f)[0]), F.array_remove(B(f), B(f)[0]))
-    ra, rb = rest("tokens")
-    shared = F.size(F.array_intersect(ra, rb))
-    subset = (F.size(F.array_except(ra, rb)) == 0) | (F.size(F.array_except(rb, ra)) == 0)
-    # a field may have cut the name off
-    cut_off = (F.least(F.length(A("compact")), F.length(B("compact"))) >= 12) & (A("compact").startswith(B("compact")) | B("compact").startswith(A("compact")))
-    name = F.when(whole == 1, 8.5).when(whole >= 0.88, 8.0).when(cut_off, 7.0).when(last_ok, 6.0).when(subset & (shared > 0), 5.0).when(shared >= 2, 3.0).when(whole >= 0.75, 4.0).when(shared >= 1, 1.0).otherwise(-4.0)
-
-    m_whole = F.when(A("m_compact") == B("m_compact"), 1.0).otherwise(similar(A("m_compact"), B("m_compact")))
-    m_shared = F.size(F.array_intersect(A("m_tokens"), B("m_tokens")))
-    m_least = F.least(F.size(A("m_tokens")), F.size(B("m_tokens")))
-    m_given = F.coalesce(similar(A("m_given"), B("m_given")) >= 0.75, F.lit(False))
-    m_last = F.coalesce(similar(A("m_last"), B("m_last")) >= 0.75, F.lit(False))
-    mother = (
-        F.when(~both("m_compact"), 0.0).when(m_whole == 1, 6.5).when(m_whole >= 0.88, 6.0)
-        .when((m_shared == m_least) & (m_least >= 2), 4.5).when(m_given & m_last, 4.5).when(m_given & (m_shared >= 2), 3.5)
-        .when(m_given & (m_least <= 2), 2.0).when(m_whole >= 0.75, 3.0).when(m_given, -3.0).otherwise(-7.0)
-    )
+    return F.coalesce(near, F.lit(False)) | (F.coalesce(run_together, F.lit(False)) & (A("last").isNull() | B("last").isNull()))
 
-    eq = lambda f: F.coalesce(A(f) == B(f), F.lit(False))
+
+def _birth_score() -> Column:
+    A, B = (lambda f: F.col(f"a.{f}")), (lambda f: F.col(f"b.{f}"))
     two_digits = (A("y") < 100) | (B("y") < 100)
     same_year = F.when(two_digits, A("y2") == B("y2")).otherwise(A("y") == B("y"))
     gap = F.abs(A("y2") - B("y2"))
@@ -234,95 +261,75 @@ def pair_score(a: str, b: str) -> tuple[Column, Column]:
     swapped = (A("m") == B("d")) & (A("d") == B("m"))
     near_day = F.abs(A("d") - B("d")).isin(1, 10)
     default_day = ((A("m") == 1) & (A("d") == 1)) | ((B("m") == 1) & (B("d") == 1))
-    full = both("m")
-    age_a, age_b = F.coalesce(F.when(A("y") >= 100, A("y")), A("by_age")), F.coalesce(F.when(B("y") >= 100, B("y")), B("by_age"))
-    by_age = F.when(age_a.isNull() | age_b.isNull(), 0.0).when(F.abs(age_a - age_b) <= 2, 0.7).when(F.abs(age_a - age_b).between(9, 11), 0.0).when(F.abs(age_a - age_b) >= 15, -8.0).otherwise(-4.0)
-    birth = (
-        F.when(~both("y"), by_age)
-        .when(~full, F.when(same_year, 2.0).when(near_year, 0.0).when(apart, -8.0).otherwise(-5.0))
-        .when(same_year & eq("m") & eq("d"), 7.0)
-        .when(same_year & (swapped | (eq("m") & near_day) | default_day) | (near_year & eq("m") & eq("d")), 4.5)
-        .when((same_year & (eq("m") | eq("d"))), 2.5).when(near_year & (swapped | (eq("m") & near_day)), 2.5).when(eq("m") & eq("d") & ~apart, 0.0).when(same_year, -2.0).when(apart, -8.0).otherwise(-5.0)
+    m, d = _equal("m"), _equal("d")
+    age = lambda x: F.coalesce(F.when(x("y") >= 100, x("y")), x("by_age"))
+    years = F.abs(age(A) - age(B))
+    by_age = F.when(years.isNull(), 0.0).when(years <= 2, 0.7).when(years.between(9, 11), 0.0).when(years >= 15, -8.0).otherwise(-4.0)
+    return (
+        F.when(~_both("y"), by_age)
+        .when(~_both("m"), F.when(same_year, 2.0).when(near_year, 0.0).when(apart, -8.0).otherwise(-5.0))
+        .when(same_year & m & d, 7.0)
+        .when(same_year & (swapped | (m & near_day) | default_day) | (near_year & m & d), 4.5)
+        .when((same_year & (m | d)), 2.5).when(near_year & (swapped | (m & near_day)), 2.5).when(m & d & ~apart, 0.0).when(same_year, -2.0).when(apart, -8.0).otherwise(-5.0)
     )
-    sex = F.when(~both("sex"), 0.0).when(A("sex") == B("sex"), 0.5).otherwise(-1.5)
-    city = F.when(~both("city"), 0.0).when((A("city") == B("city")) | (similar(A("city"), B("city")) >= 0.8), 1.5).when(A("uf") == B("uf"), 0.0).otherwise(-0.5)
-    street = F.when(~both("street"), 0.0).when((A("street") == B("street")) | (similar(A("street"), B("street")) >= 0.85), F.when(eq("number"), 3.5).otherwise(2.0)).otherwise(-0.3)
-    return given_ok, name + mother + birth + sex + city + street
 
 
-def _bounds(keyed: DataFrame, rows_per_range: int) -> tuple[list[list[str]], list[str]]:
-    """Cuts of the key order into ranges, from a sample by hash of about 64 keys a range.
+def _place_score() -> Column:
+    same = lambda f, least: _equal(f) | (similar(F.col(f"a.{f}"), F.col(f"b.{f}")) >= least)
+    sex = F.when(~_both("sex"), 0.0).when(_equal("sex"), 0.5).otherwise(-1.5)
+    city = F.when(~_both("city"), 0.0).when(same("city", 0.8), 1.5).when(_equal("uf"), 0.0).otherwise(-0.5)
+    street = F.when(~_both("street"), 0.0).when(same("street", 0.85), F.when(_equal("number"), 3.5).otherwise(2.0)).otherwise(-0.3)
+    return sex + city + street
+
+
+def _mother_score() -> Column:
+    """Of ``m_whole``, the similarity of the whole names."""
+    A, B = (lambda f: F.col(f"a.{f}")), (lambda f: F.col(f"b.{f}"))
+    shared, least = F.size(F.array_intersect(A("m_tokens"), B("m_tokens"))), F.least(F.size(A("m_tokens")), F.size(B("m_tokens")))
+    given, last = (F.coalesce(similar(A(f), B(f)) >= 0.75, F.lit(False)) for f in ("m_given", "m_last"))
+    m = F.col("m_whole")
+    return (
+        F.when(~_both("m_compact"), 0.0).when(m == 1, 6.5).when(m >= 0.88, 6.0)
+        .when((shared == least) & (least >= 2), 4.5).when(given & last, 4.5).when(given & (shared >= 2), 3.5)
+        .when(given & (least <= 2), 2.0).when(m >= 0.75, 3.0).when(given, -3.0).otherwise(-7.0)
+    )
+
 
-    Two levels of at most 64 cuts each; more rows make longer ranges, never lost ones.
-    """
-    n = keyed.count()
-    ranges = max(1, min(4096, n // rows_per_range))
-    if ranges == 1:
-        return [[]], []
-    part = max(1, n // (64 * ranges))
-    sample = sorted(r[0] for r in keyed.where(F.pmod(F.xxhash64("key", "id"), F.lit(part)) == 0).select("key").collect())
-    if not sample:
-        return [[]], []
-    cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)})
-    step = max(1, -(-len(cuts) // 64))
-    coarse = cuts[step - 1 :: step]
-    fine = [cuts[i * step : i * step + step - 1] for i in range(len(coarse) + 1)]
-    return fine, coarse
-
-
-def _range_of(fine: list[list[str]], coarse: list[str]) -> Column:
-    """Number of the range of ``key``."""
-    if not coarse and not any(fine):
-        return F.lit(0)
-    text = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    below = lambda xs: F.size(F.filter(xs, lambda c: c <= F.col("key")))
-    first = below(text(coarse))
-    return first * 1000 + below(F.array(*map(text, fine))[first])
-
-
-def _followers(ranged: DataFrame, part: str, window: int, linked) -> DataFrame:
-    """Linked pairs of each row with the ``window`` rows after it inside its part."""
-    order = Window.partitionBy(part).orderBy("key", "id")
-    ahead = F.collect_list("p").over(order.rowsBetween(1, window))
-    return linked(ranged.withColumn("ahead", ahead).select(F.col("p").alias("a"), F.explode("ahead").alias("b")))
-
-
-def neighbours(people: DataFrame, key: Column, window: int, linked, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Pairs (a, b) within ``window`` places of the order by ``key``, passed through ``linked``.
-
-    ``linked`` takes a DataFrame of record structs a, b and keeps the pairs that count,
-    so pairs are never stored.
+def _name_score() -> Column:
+    """Of ``whole``, the similarity of the whole names."""
+    A, B = (lambda f: F.col(f"a.{f}")), (lambda f: F.col(f"b.{f}"))
+    rest = lambda x: F.array_remove(x("tokens"), x("given"))
+    shared = F.size(F.array_intersect(rest(A), rest(B)))
+    subset = (F.size(F.array_except(rest(A), rest(B))) == 0) | (F.size(F.array_except(rest(B), rest(A))) == 0)
+    # a field may have cut the name off
+    cut_off = (F.least(F.length(A("compact")), F.length(B("compact"))) >= 12) & (A("compact").startswith(B("compact")) | B("compact").startswith(A("compact")))
+    last = F.coalesce(similar(A("last"), B("last")) >= 0.75, F.lit(False))
+    w = F.col("whole")
+    return F.when(w == 1, 8.5).when(w >= 0.88, 8.0).when(cut_off, 7.0).when(last, 6.0).when(subset & (shared > 0), 5.0).when(shared >= 2, 3.0).when(w >= 0.75, 4.0).when(shared >= 1, 1.0).otherwise(-4.0)
+
+
+def _kept(df: DataFrame, columns: dict[str, Column], test: Column | None = None) -> DataFrame:
+    """``df`` with ``columns``, each worked out once: a filter is not pushed below a generator."""
+    out = df.select(*df.columns, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    return out if test is None else out.where(test)
+
+
+def score_pairs(pairs: DataFrame, least: float | None = None) -> DataFrame:
+    """(x, y, score) with x < y of record structs (a, b), of those that reach ``least``.
+
+    The cheap parts come first; names are compared only where the sum can still reach ``least``.
     """
-    p = F.struct(*people.columns).alias("p")
-    keyed = people.select(key.alias("key"), "id", p).where("key is not null")
-    fine, coarse = _bounds(keyed.select("key", "id"), rows_per_range)
-    ranged = keyed.withColumn("range", _range_of(fine, coarse))
-    inside = _followers(ranged, "range", window, linked)
-    if not coarse:
-        return inside
-    # rows next to a cut: the last of one range and the first of the next meet in one group
-    w = Window.partitionBy("range")
-    edge = ranged.select("key", "id", "range").withColumn("up", F.row_number().over(w.orderBy("key", "id"))).withColumn("down", F.row_number().over(w.orderBy(F.desc("key"), F.desc("id"))))
-    edge = edge.where((F.col("up") <= window) | (F.col("down") <= window))
-    numbers = edge.select("range").distinct().withColumn("n", F.row_number().over(Window.orderBy("range")))
-    edge = edge.join(F.broadcast(numbers), "range")
-    cut = F.explode(F.array_compact(F.array(F.when(F.col("up") <= window, F.col("n") - 1), F.when(F.col("down") <= window, F.col("n")))))
-    edge = edge.select("id", cut.alias("cut")).join(keyed, "id")
-    return inside.unionByName(_followers(edge, "cut", window, linked))
+    reach = lambda rest: None if least is None else F.col("score") + F.lit(rest) >= F.lit(least)
+    p = _kept(pairs, {"score": _birth_score() + _place_score()}, reach(8.5 + 6.5))
+    p = _kept(p, {"m_whole": similar(F.col("a.m_compact"), F.col("b.m_compact"))})
+    p = _kept(p.withColumnRenamed("score", "s0"), {"score": F.col("s0") + _mother_score()}, reach(8.5)).drop("s0")
+    p = _kept(p, {"whole": similar(F.col("a.compact"), F.col("b.compact"))})
+    return _kept(p.withColumnRenamed("score", "s0"), {"x": F.least("a.id", "b.id"), "y": F.greatest("a.id", "b.id"), "score": F.col("s0") + _name_score()}, reach(0.0)).select("x", "y", "score")
 
 
 def links(people: DataFrame, window: int = WINDOW, least: float = WEAK) -> DataFrame:
     """(x, y, score): scored pairs of records from all sort keys, each pair once."""
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        maybe, score = pair_score("a", "b")
-        # a filter on a generated column is not pushed below it, so the score is worked out once
-        link = F.explode(F.array(F.struct(F.least("a.id", "b.id").alias("x"), F.greatest("a.id", "b.id").alias("y"), score.alias("score"))))
-        return pairs.where((F.col("a.id") != F.col("b.id")) & maybe).select(link.alias("l")).select("l.*").where(F.col("score") >= least)
-
-    # key after key: the links of one are few, and the plan of all at once would be large
-    found = [durable(neighbours(people, key, window, linked)) for key in sort_keys().values()]
-    return reduce(lambda p, q: p.unionByName(q), found).groupBy("x", "y").agg(F.max("score").alias("score"))
+    return score_pairs(neighbours(people, sort_keys(), window).where(same_given()), least)
 
 
 def best_assignment(weights: np.ndarray) -> list[tuple[int, int]]:
@@ -359,73 +366,139 @@ def best_assignment(weights: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if flipped else (a, b) for a, b in pairs if w[a, b] > 0)
 
 
-#: Persons on one side of a connected group of candidates up to which it is solved exactly.
-EXACT_SIDE = 200
+def auction(edges: DataFrame) -> DataFrame:
+    """(c, t) of a one-to-one assignment of ``edges`` (c, t, weight > 0, whole) with the greatest total weight.
+
+    The auction algorithm with falling increments, every round a few joins, so a
+    connected group of any size is settled exactly without gathering it.  To let anyone
+    stay alone the graph is doubled: c and t each get a mirror that they may take for
+    nothing, and mirrors may pair as their originals do.  Weights times the number of
+    bidders plus one and a last increment of 1 make the result exact.
+    """
+    spark = edges.sparkSession
+    bidders = edges.select(F.countDistinct("c") + F.countDistinct("t")).first()[0]
+    if not bidders:
+        return edges.select("c", "t")
+    c, t = F.col("c"), F.col("t")
+    node = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("id"))
+    worth = (F.col("weight") * (bidders + 1)).cast("bigint")
+    option = lambda p, o, v: F.struct(p.alias("p"), o.alias("o"), v.cast("bigint").alias("v"))
+    ways = F.array(option(node(0, c), node(0, t), worth), option(node(1, t), node(1, c), worth), option(node(0, c), node(1, c), F.lit(0)), option(node(1, t), node(0, t), F.lit(0)))
+    options = durable(edges.select(F.inline(ways)).groupBy("p", "o").agg(F.max("v").alias("v")))
+    # state of each object: its price and who has it
+    state = durable(options.select("o").distinct().select("o", F.lit(0).cast("bigint").alias("price"), F.lit(None).cast("struct<kind:int,id:bigint>").alias("owner")))
+    step = max(1, options.agg(F.max("v")).first()[0] // 4)
+    while True:
+        taken = state.where("owner is not null").select(F.col("owner").alias("p"))
+        free = durable(options.join(taken, "p", "left_anti"))
+        if free.isEmpty():
+            if step == 1:
+                break
+            step = max(1, step // 8)
+            after = durable(state.withColumn("owner", F.lit(None).cast("struct<kind:int,id:bigint>")))
+        else:
+            gain = free.join(state.select("o", "price"), "o").withColumn("gain", F.col("v") - F.col("price"))
+            ranked = gain.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("gain"), "o"))).where("n <= 2")
+            best = ranked.groupBy("p").agg(F.min_by(F.struct("o", "price"), "n").alias("b"), (F.max("gain") - F.min("gain")).alias("lead"))
+            bids = best.select("b.o", "p", (F.col("b.price") + F.col("lead") + step).alias("bid"))
+            won = bids.groupBy("o").agg(F.max(F.struct("bid", "p")).alias("w")).select("o", F.col("w.bid").alias("bid"), F.col("w.p").alias("winner"))
+            after = durable(state.join(won, "o", "left").select("o", F.coalesce("bid", "price").alias("price"), F.coalesce("winner", "owner").alias("owner")))
+        release(state)
+        release(free)
+        state = after
+    return state.where("owner.kind = 0 and o.kind = 0").select(F.col("owner.id").alias("c"), F.col("o.id").alias("t"))
+
+
+#: Links of a connected group up to which one task settles it; larger groups go to the auction, which is as exact.
+GROUP_LINKS = 1000
+#: Confidences are compared to this precision.
+PRECISION = 1_000_000_000
 
 
 def one_to_one(candidates: DataFrame) -> DataFrame:
-    """(c, t) of the one-to-one assignment with the greatest total confidence.
+    """(c, t) of a one-to-one assignment with the greatest total confidence.
 
-    Candidates (c, t, confidence) fall into connected groups, each solved exactly on
-    its own.  A group with more than ``EXACT_SIDE`` persons on a side is settled
-    between mutually best persons, round by round, without gathering it.
+    Candidates (c, t, confidence), ids not negative, fall into connected groups, each
+    settled exactly on its own: a link alone at both ends at once, a group of at most
+    ``GROUP_LINKS`` links by the Hungarian method in a task, any other by :func:`auction`.
     """
+    e = candidates.groupBy("c", "t").agg(F.round(F.max("confidence") * PRECISION).cast("bigint").alias("weight")).where("weight > 0")
+    count = F.count(F.lit(1))
+    e = durable(e.join(e.groupBy("c").agg(count.alias("dc")), "c").join(e.groupBy("t").agg(count.alias("dt")), "t"))
+    single, tied = e.where("dc = 1 and dt = 1").select("c", "t"), e.where("dc > 1 or dt > 1").select("c", "t", "weight")
     # node numbers: c and t ids may clash, so t ids become negative
-    e = candidates.select("c", "t", "confidence", (-F.col("t") - 1).alias("n"))
-    groups = components(edges_of(e, "c", "n"))
-    e = durable(e.join(groups.withColumnRenamed("node", "c"), "c"))
-    size = e.groupBy("group_id").agg(F.countDistinct("c").alias("nc"), F.countDistinct("t").alias("nt"))
-    e = e.join(size, "group_id")
-    single = e.where("nc = 1 and nt = 1").select("c", "t")
+    groups = components(edges_of(tied.withColumn("n", -F.col("t") - 1), "c", "n"))
+    tied = tied.join(groups.withColumnRenamed("node", "c"), "c")
+    tied = durable(tied.join(tied.groupBy("group_id").agg(count.alias("links")), "group_id"))
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         cs, ts = sorted(group["c"].unique()), sorted(group["t"].unique())
-        ci, ti = {x: i for i, x in enumerate(cs)}, {x: i for i, x in enumerate(ts)}
         w = np.zeros((len(cs), len(ts)))
-        for c, t, x in zip(group["c"], group["t"], group["confidence"]):
-            w[ci[c], ti[t]] = max(w[ci[c], ti[t]], x)
+        w[np.searchsorted(cs, group["c"]), np.searchsorted(ts, group["t"])] = group["weight"]
         pairs = best_assignment(w)
         return pd.DataFrame({"c": [cs[a] for a, _ in pairs], "t": [ts[b] for _, b in pairs]}, dtype="int64")
 
-    small = (F.greatest("nc", "nt") > 1) & (F.greatest("nc", "nt") <= EXACT_SIDE)
-    exact = e.where(small).select("group_id", "c", "t", "confidence").groupBy("group_id").applyInPandas(solve, "c bigint, t bigint")
     ship(candidates.sparkSession)
-    settled = single.unionByName(exact)
-    rest = durable(e.where(F.greatest("nc", "nt") > EXACT_SIDE).select("c", "t", "confidence"))
-    while not rest.isEmpty():
-        order = F.struct("confidence", -F.col("c"), -F.col("t"))
-        best_c = rest.groupBy("c").agg(F.max_by("t", order).alias("t"))
-        best_t = rest.groupBy("t").agg(F.max_by("c", order).alias("c"))
-        mutual = durable(best_c.join(best_t, ["c", "t"]).select("c", "t"))
-        settled = settled.unionByName(mutual)
-        rest = durable(rest.join(mutual.select("c"), "c", "left_anti").join(mutual.select("t"), "t", "left_anti"))
-    return settled
+    settled = single.unionByName(tied.where(F.col("links") <= GROUP_LINKS).select("group_id", "c", "t", "weight").groupBy("group_id").applyInPandas(solve, "c bigint, t bigint"))
+    return settled.unionByName(auction(tied.where(F.col("links") > GROUP_LINKS).select("c", "t", "weight")))
+
+
+def confidence(score: Column) -> Column:
+    return 1 / (1 + F.exp(F.lit(STRONG + 1) - score))
+
+
+def compared(people: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): the records of the id pairs (x, y)."""
+    record = lambda i, name: people.select(F.col("id").alias(i), F.struct(*people.columns).alias(name))
+    return pairs.join(record("x", "a"), "x").join(record("y", "b"), "y").select("a", "b")
+
+
+def source_persons(people: DataFrame, scored: DataFrame) -> DataFrame:
+    """(id, person): records of one source that are one person, as components of links inside the source.
+
+    Linked are two records with a strong link, and a record with the best partner among
+    those that share one of its partners in the other source, one by one and so never
+    all pairs of a group: if the two agree well enough themselves.
+    """
+    inside = F.pmod("x", F.lit(2)) == F.pmod("y", F.lit(2))
+    direct = scored.where(inside & (F.col("score") >= STRONG)).select("x", "y")
+    ways = F.array(F.struct(F.col("x").alias("r"), F.col("y").alias("o")), F.struct(F.col("y").alias("r"), F.col("x").alias("o")))
+    across = scored.where(~inside).select(F.inline(ways), "score")
+    best = across.groupBy("r").agg(F.max(F.struct("score", -F.col("o"))).alias("m"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("m.score") >= STRONG))
+    shared = across.join(best.select("r", (-F.col("m.col2")).alias("best")), "r").where("o <> best").select(F.least("o", "best").alias("x"), F.greatest("o", "best").alias("y"), "score")
+    shared = durable(shared.groupBy("x", "y").agg(F.max("score").alias("by")).join(direct, ["x", "y"], "left_anti"))
+    own = score_pairs(compared(people, shared).where(same_given()), SHARED).join(shared, ["x", "y"]).where((F.col("by") >= STRONG) | (F.col("score") >= WEAK))
+    groups = components(edges_of(direct.unionByName(own.select("x", "y")), "x", "y"))
+    return durable(people.select("id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("group_id", "id").alias("person")))
+
+
+def assigned(people: DataFrame, scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, person), (c, t)): the persons of both sources, and which is which by the one-to-one assignment."""
+    person = source_persons(people, scored)
+    across = scored.where("pmod(x, 2) <> pmod(y, 2)").select(F.when(F.pmod("x", F.lit(2)) == 0, F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y"))).alias("p"), "score").select("p.*", "score")
+    of = lambda i, name: person.select(F.col("id").alias(i), F.col("person").alias(name))
+    candidates = across.join(of("x", "c"), "x").join(of("y", "t"), "y").groupBy("c", "t").agg(F.max("score").alias("score"))
+    return person, durable(one_to_one(candidates.select("c", "t", confidence(F.col("score")).alias("confidence"))))
 
 
 def match_people(cohort: DataFrame, target: DataFrame, cohort_source: Source = COHORT, target_source: Source = TARGET, window: int = WINDOW) -> DataFrame:
-    """(cohort_id, target_id, confidence): every pair of records that is one person."""
+    """(cohort_id, target_id, confidence): every pair of records that is one person.
+
+    The confidence is that of the pair's own comparison, also where the pair is joined
+    by other records of the two persons and its own is low.
+    """
     both = normalised(cohort, cohort_source, "c").unionByName(normalised(target, target_source, "t"))
     # ids of the two sources may clash: even numbers for one, odd for the other
     people = durable(both.withColumn("id", 2 * F.col("id") + F.when(F.col("side") == "t", 1).otherwise(0)))
     people = durable(with_known_names(people))
     scored = durable(links(people, window))
-    confidence = 1 / (1 + F.exp((F.lit(STRONG) - F.col("score")) / 2))
-    strong = components(edges_of(scored.where(F.col("score") >= STRONG), "x", "y"))
-    person = durable(people.select("id").join(strong.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("group_id", "id").alias("person")))
-    sides = person.groupBy("person").agg(F.max(F.pmod("id", F.lit(2))).alias("has_t"), F.min(F.pmod("id", F.lit(2))).alias("all_t"))
-    weak = (
-        scored.where(F.col("score") < STRONG).withColumn("confidence", confidence)
-        .join(person.select(F.col("id").alias("x"), F.col("person").alias("px")), "x").join(person.select(F.col("id").alias("y"), F.col("person").alias("py")), "y")
-    )
-    c_only, t_only = sides.where("has_t = 0").select("person"), sides.where("all_t = 1").select("person")
-    either = weak.select(F.explode(F.array(F.struct(F.col("px").alias("c"), F.col("py").alias("t")), F.struct(F.col("py").alias("c"), F.col("px").alias("t")))).alias("e"), "confidence").select("e.*", "confidence")
-    candidates = either.join(c_only.withColumnRenamed("person", "c"), "c", "left_semi").join(t_only.withColumnRenamed("person", "t"), "t", "left_semi").groupBy("c", "t").agg(F.max("confidence").alias("confidence"))
-    joined = one_to_one(candidates)
-    person = person.join(joined.select(F.col("t").alias("person"), F.col("c").alias("same")), "person", "left").select("id", F.coalesce("same", "person").alias("person"))
-    person = durable(person)
-    c = person.where("id % 2 = 0").select("person", F.col("id").alias("x"))
-    t = person.where("id % 2 = 1").select("person", F.col("id").alias("y"))
-    direct = scored.select("x", "y", "score").unionByName(scored.select(F.col("y").alias("x"), F.col("x").alias("y"), "score")).where("x % 2 = 0 and y % 2 = 1")
-    # a pair joined only through others of its person has the confidence of a just strong link
-    pairs = c.join(t, "person").join(direct, ["x", "y"], "left").withColumn("score", F.coalesce("score", F.lit(STRONG)))
-    return pairs.select(F.shiftright("x", 1).alias("cohort_id"), F.shiftright("y", 1).alias("target_id"), F.round(confidence, 6).alias("confidence"))
+    person, same = assigned(people, scored)
+    c = person.select(F.col("person").alias("c"), F.col("id").alias("i"))
+    t = person.select(F.col("person").alias("t"), F.col("id").alias("j"))
+    pairs = same.join(c, "c").join(t, "t").select(F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
+    pairs = durable(pairs.join(scored, ["x", "y"], "left"))
+    rest = score_pairs(compared(people, pairs.where("score is null").select("x", "y")))
+    own = pairs.where("score is not null").unionByName(rest)
+    even = F.pmod("x", F.lit(2)) == 0
+    ends = F.shiftright(F.when(even, F.col("x")).otherwise(F.col("y")), 1), F.shiftright(F.when(even, F.col("y")).otherwise(F.col("x")), 1)
+    return own.select(ends[0].alias("cohort_id"), ends[1].alias("target_id"), F.round(confidence(F.col("score")), 6).alias("confidence"))

@@ -95,24 +95,43 @@ def test_assignment_is_the_best():
         assert abs(got - best) < 1e-9
 
 
-def test_one_to_one(spark, monkeypatch):
-    df = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.95), (2, 2, 0.9), (5, 7, 0.5)], "c bigint, t bigint, confidence double")
-    assert sorted(map(tuple, entities.one_to_one(df).collect())) == [(1, 1), (2, 2), (5, 7)]
-    monkeypatch.setattr(entities, "EXACT_SIDE", 1)
-    assert sorted(map(tuple, entities.one_to_one(df).collect())) == [(1, 2), (5, 7)]
-    assert entities.one_to_one(df.limit(0)).count() == 0
+def brute_total(edges):
+    """Greatest total weight of a one-to-one assignment, by trying all."""
+    def go(rest):
+        if not rest:
+            return 0
+        (c, t, w), *more = rest
+        return max(go(more), w + go([e for e in more if e[0] != c and e[1] != t]))
+
+    return go(edges)
 
 
-def test_normal_forms():
-    assert entities.name_tokens("SRA Márcio  de Babente") == ["marcio", "babente"] == entities.name_tokens("Babente, MÁRCIO")
-    assert entities.name_tokens("JoséMárcioSertagos") == ["jose", "marcio", "sertagos"]
-    assert entities.name_tokens("IGNORADA") == entities.name_tokens(None) == []
-    assert entities.name_tokens("VÃ\x82NIA") == ["vania"]
-    b = entities.birth_parts
-    assert b("19801203", False) == b("03121980", True) == b("3-dez-1980", True) == b("1980-12-03", True) == (1980, 12, 3)
-    assert b("3/12/80", True) == (80, 12, 3) and b("1980", False) == (1980, None, None)
-    for broken in ("", None, "00000000", "x", "99999999"):
-        assert b(broken, False) == (None, None, None)
+def test_one_to_one(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.95), (2, 2, 0.9), (5, 7, 0.5), (5, 7, 0.2), (9, 9, 0.0)], "c bigint, t bigint, confidence double")
+    rng = random.Random(8)
+    noisy = list({(rng.randrange(7), rng.randrange(6)): rng.random() for _ in range(16)}.items())
+    wide = spark.createDataFrame([(c, t, w) for (c, t), w in noisy], "c bigint, t bigint, confidence double")
+    best = brute_total([(c, t, w) for (c, t), w in noisy])
+    for limit in (1000, 0):  # in a task, by the auction
+        monkeypatch.setattr(entities, "GROUP_LINKS", limit)
+        assert sorted(map(tuple, entities.one_to_one(df).collect())) == [(1, 1), (2, 2), (5, 7)]
+        got = [tuple(r) for r in entities.one_to_one(wide).collect()]
+        assert len({c for c, _ in got}) == len({t for _, t in got}) == len(got)
+        assert abs(sum(dict(noisy)[p] for p in got) - best) < 1e-6
+        assert entities.one_to_one(df.limit(0)).count() == 0
+
+
+def test_normal_forms(spark):
+    names = {"SRA Márcio  de Babente": "marcio babente", "Babente, MÁRCIO": "marcio babente", "JoséMárcioSertagos": "jose marcio sertagos", "IGNORADA": "", "RN Ana Lima": "ana lima", "VÃ\x82NIA": "vania", "Dr": "dr", "Dr 12": "dr", "": "", None: ""}
+    df = spark.createDataFrame([(k, v) for k, v in names.items()], "name string, want string")
+    rows = entities.name_tokens(df, ["name"]).collect()
+    assert len(rows) == len(names) and all(" ".join(r.name) == r.want for r in rows), rows
+    births = [("19801203", False, (1980, 12, 3)), ("03121980", True, (1980, 12, 3)), ("3-dez-1980", True, (1980, 12, 3)), ("1980-12-03", True, (1980, 12, 3)), ("3/12/80", True, (80, 12, 3)), ("1980", False, (1980, None, None))]
+    births += [(x, False, (None, None, None)) for x in ("", None, "00000000", "x", "99999999")]
+    for day_first in (True, False):
+        mine = [(b, w) for b, f, w in births if f == day_first]
+        got = entities.with_birth(spark.createDataFrame([(i, b) for i, (b, _) in enumerate(mine)], "i int, birth string"), day_first)
+        assert [(r.y, r.m, r.d) for r in got.orderBy("i").collect()] == [w for _, w in mine]
 
 
 def people(spark, rows, names, extra):
@@ -147,23 +166,33 @@ def test_match_people(spark):
     )
     got = entities.match_people(c, t)
     assert {(r.cohort_id, r.target_id) for r in got.collect()} == {(1, 500), (2, 500), (3, 501)}
-    assert all(0.3 < r.confidence <= 1 for r in got.collect()) and got.columns == ["cohort_id", "target_id", "confidence"]
+    assert all(0 < r.confidence <= 1 for r in got.collect()) and got.columns == ["cohort_id", "target_id", "confidence"]
     assert entities.match_people(c.limit(0), t).count() == 0 == entities.match_people(c, t.limit(0)).count()
 
 
-def test_ranges_lose_no_neighbours(spark):
-    rng = random.Random(6)
-    rows = [("c", i, f"k{rng.randrange(300):03d}" if rng.random() > 0.3 else "same") for i in range(700)]
-    df = spark.createDataFrame(rows, "side string, id bigint, given string")
+def brute_neighbours(rows, window):
+    """Pairs within ``window`` places of the order of any key, by sorting each."""
+    out = set()
+    for k in range(len(rows[0]) - 1):
+        order = [r[0] for r in sorted((r for r in rows if r[k + 1] is not None), key=lambda r: (r[k + 1], r[0]))]
+        out |= {tuple(sorted((order[p], order[q]))) for p in range(len(order)) for q in range(p + 1, min(p + window + 1, len(order)))}
+    return out
 
-    def kept(p):
-        return p.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
 
-    one = set(map(tuple, entities.neighbours(df, F.col("given"), 5, kept, 10_000).collect()))
-    many = set(map(tuple, entities.neighbours(df, F.col("given"), 5, kept, 60).collect()))
-    order = [i for _, i in sorted((k, i) for _, i, k in rows)]
-    brute = {(order[p], order[q]) for p in range(len(order)) for q in range(p + 1, min(p + 6, len(order)))}
-    assert one == brute and many == brute
+def test_blocks_lose_no_neighbours(spark):
+    """Hot keys, keys of one row, missing keys; blocks shorter than a run of one key, and shorter than the window."""
+    rng = random.Random(6)
+    rows = [(i, f"k{i:04d}" if i < 1000 else "m" if i == 1000 else "n", None if i % 5 == 0 else f"s{rng.randrange(40)}") for i in range(2001)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id bigint, given string, last string")
+    keys = {"given": F.col("given"), "last": F.col("last")}
+    want = brute_neighbours(rows, 8)
+    for block in (10_000, 50, 3):
+        pairs = entities.neighbours(df, keys, 8, block).select("a.id", "b.id").collect()
+        got = [tuple(sorted(p)) for p in pairs]
+        assert len(got) == len(set(got)), "each pair once"
+        assert set(got) == want
+    assert entities.neighbours(df.limit(0), keys).count() == 0
 
 
 def test_known_and_unknown_given_names(spark):
@@ -175,6 +204,35 @@ def test_known_and_unknown_given_names(spark):
     assert not any((a < 4) != (b < 4) for a, b in pairs if 8 not in (a, b)) and (0, 8) in pairs
 
 
+def test_every_row_comes_from_the_assignment(spark):
+    """Each pair that comes out belongs to two persons that the assignment joined, and to each person only one."""
+    s01 = "/root/testdata/sf0.01"
+    cohort, target = spark.read.parquet(f"{s01}/cohort_people.parquet"), spark.read.parquet(f"{s01}/target_people.parquet")
+    both = entities.normalised(cohort, entities.COHORT, "c").unionByName(entities.normalised(target, entities.TARGET, "t"))
+    people = entities.with_known_names(both.withColumn("id", 2 * F.col("id") + F.when(F.col("side") == "t", 1).otherwise(0)))
+    person, same = entities.assigned(people, entities.links(people))
+    of, joined = {r.id: r.person for r in person.collect()}, {tuple(r) for r in same.collect()}
+    assert len({c for c, _ in joined}) == len({t for _, t in joined}) == len(joined)
+    members = {}
+    for i, p in of.items():
+        members.setdefault(p, []).append(i)
+    assert all(len({i % 2 for i in m}) == 1 for m in members.values()), "persons are of one source"
+    want = {(i // 2, j // 2) for c, t in joined for i in members[c] for j in members[t]}
+    rows = entities.match_people(cohort, target).collect()
+    assert {(r.cohort_id, r.target_id) for r in rows} == want and len(rows) == len(want) > 600
+
+
+def test_a_person_several_times_in_one_source(spark):
+    """Two records without a strong link of their own are one person by a common partner; twins are not."""
+    ana, bia = "Ana Belmar Corlores", "Bianca Belmar Corlores"
+    c, t = two_sources(
+        spark,
+        [(1, ana, "Rosa Zamgado Belmar", "19800305", "F", "SP", "Lussaga", "Rua Um, 10"), (2, bia, "Rosa Zamgado Belmar", "19800305", "F", "SP", "Lussaga", "Rua Um, 10")],
+        [(500, ana, None, "1980-03-05", "3", "SP", "Lussaga", None), (501, ana, "Rosa Zamgado Belmar", None, "3", "SP", "Lussaga", "Rua Um, 10"), (502, bia, "Rosa Zamgado Belmar", "1980-03-05", "3", "SP", "Lussaga", "Rua Um, 10")],
+    )
+    assert {(r.cohort_id, r.target_id) for r in entities.match_people(c, t).collect()} == {(1, 500), (1, 501), (2, 502)}
+
+
 def test_topic_is_that_of_most_votes(spark):
     documents = spark.createDataFrame([(1, "a", "pt", "um texto"), (2, "a", "pt", "outro"), (3, "a", "pt", "mais um")], "doc_id long, source string, lang string, text string")
     votes = spark.createDataFrame([(1, "access"), (1, "supply"), (1, "supply"), (2, "supply"), (2, "access"), (None, "access")], "doc_id long, topic string")
