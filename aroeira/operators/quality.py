@@ -1,11 +1,17 @@
 """Column-level data quality profile.
 
 Checks are declared as :class:`ColumnRule` objects and compiled into one shared
-aggregate scan.  The scan yields one *state* per (load, column): counters, range
-and a HyperLogLog sketch.  States merge by addition, so a new load is profiled on
-its own and merged with the stored states of the loads before it.  Anomaly tests
-(jump of the missing share, shift of the value distribution, control limits over
-the history of a metric) read only states, never the rows again.
+aggregate scan.  The scan yields *states* that merge by addition, of two kinds: one
+line per (load, column) with counters, range and a HyperLogLog sketch (:func:`states`),
+and value counts per (load, column, value), which also name the records that break a
+form (:func:`value_states`).  States are appended to a store batch by batch
+(:func:`append_states`), read back and added up (:func:`merge_states`,
+:func:`merge_value_states`).  Violations, jumps of the missing share, shifts of the
+distribution and control limits over the history of a metric read only stored states,
+never the rows again.
+
+Batches of one load must hold different records; a record redelivered within a batch
+counts once.
 
 Defined results: a null row key cannot be told from another null row key, so rows
 without a key are all kept; a null load keeps its rows' pattern violations but has
@@ -18,10 +24,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, new_folder
 
 SERIES_PATTERN = r"(?s)\A(.*[A-Za-z]{4})([0-9]{4})(\.[^./]*)\z"
 
@@ -162,15 +168,40 @@ def exact_text(df: DataFrame, column: str) -> Column:
     return F.when(F.trim(text) != "", text)
 
 
-def histogram(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
-    """(load, column_name, value, n) over exact values, a missing value as null."""
-    pairs = F.array(
-        *(
-            F.struct(F.lit(c).alias("column_name"), F.when(F.trim(F.col(c)) != "", F.col(c)).alias("value"))
-            for c in columns
-        )
-    )
-    return df.select(load, F.explode(pairs).alias("p")).groupBy(load, "p.column_name", "p.value").agg(F.count(F.lit(1)).alias("n"))
+def value_states(df: DataFrame, load: str, key: str, rules: Sequence[ColumnRule]) -> DataFrame:
+    """(load, column_name, value, broken, record, n): the value counts of every column in one scan and one shuffle.
+
+    A missing value is null.  A record whose value breaks its form is a line of its own
+    with its ``record`` key; all others share the line of their value.  Lines of disjoint
+    rows merge by adding ``n``.
+    """
+    kinds = dict(df.dtypes)
+    entries = []
+    for r in rules:
+        broken = ~r.missing(kinds[r.name]) & ~r.well_formed()
+        entries.append(F.struct(F.lit(r.name).alias("column_name"), exact_text(df, r.name).alias("value"), broken.alias("broken"), F.when(broken, F.col(key)).alias("record")))
+    by = [load, "column_name", "value", "broken", "record"]
+    return df.select(load, F.explode(F.array(*entries)).alias("p")).select(load, "p.*").groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_value_states(states: DataFrame) -> DataFrame:
+    by = [c for c in states.columns if c != "n"]
+    return states.groupBy(*by).agg(F.sum("n").alias("n"))
+
+
+def histogram(values: DataFrame, load: str) -> DataFrame:
+    """(load, column_name, value, n) of value states: exact values, a missing value as null."""
+    return values.groupBy(load, "column_name", "value").agg(F.sum("n").alias("n"))
+
+
+def append_states(states: DataFrame, store: str, batch: str) -> None:
+    """Adds the states of one batch to the folder ``store``; a batch of the same name is replaced."""
+    states.write.mode("overwrite").parquet(f"{store}/batch={batch}")
+
+
+def stored_states(spark: SparkSession, store: str) -> DataFrame:
+    """The states of all batches, one below the other."""
+    return spark.read.parquet(store).drop("batch")
 
 
 def load_totals(hist: DataFrame, load: str) -> DataFrame:
@@ -275,26 +306,33 @@ def departures(records: DataFrame, load: str = "file", key: str = "rec_id", rule
     return changes(hist.drop("broken"), load).unionByName(broken)
 
 
-def violations(df: DataFrame, load: str, key: str, rules: Sequence[ColumnRule]) -> DataFrame:
-    """One row per record and column whose value is there but breaks its form."""
-    kinds = dict(df.dtypes)
-    bad = F.array_compact(F.array(*(F.when(~r.missing(kinds[r.name]) & ~r.well_formed(), F.lit(r.name)) for r in rules)))
-    return df.select(load, key, bad.alias("bad")).where(F.size("bad") > 0).select(F.lit("pattern").alias("case_kind"), load, F.explode("bad").alias("column_name"), key)
+def found_in_states(values: DataFrame, load: str, key: str) -> DataFrame:
+    """(case_kind, load, column_name, key) from value states: violations, jumps of the missing share, shifts."""
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("i")  # one line a record; more only without a key
+    broken = values.where("broken").select(F.lit("pattern").alias("case_kind"), load, "column_name", F.col("record").alias(key), each).drop("i")
+    whole = changes(durable(histogram(values, load)), load).withColumn(key, F.lit(-1).cast("bigint"))
+    return broken.unionByName(whole.select("case_kind", load, "column_name", key))
 
 
 def found(records: DataFrame, load: str = "file", key: str = "rec_id", columns: Sequence[str] = FOUND_COLUMNS) -> DataFrame:
     """Pattern violations, jumps of the missing share and shifts, each record once.
 
-    Violations are few, so they are taken from the scan and made unique on their
-    own; only the columns under test are shuffled to take each record once.
+    One scan of the records makes the value states; they are stored and read back, and
+    every case comes from them.
     """
     rules = [r for r in RECORD_RULES if r.name in columns]
-    slim = records.select(load, key, *columns)
-    unique = once(slim, key, [load, *columns])
-    hist = durable(histogram(unique, load, columns))  # read for totals and for values, of a load and of the next
-    broken = once(violations(slim, load, key, rules), [key, "column_name"], ["case_kind", load])
-    whole = changes(hist, load).withColumn(key, F.lit(-1).cast("bigint"))
-    return broken.select("case_kind", load, "column_name", key).unionByName(whole.select("case_kind", load, "column_name", key))
+    store = new_folder(records.sparkSession, "states")
+    append_states(value_states(once(records, key, [load, *columns]), load, key, rules), store, "all")
+    return found_in_states(stored_states(records.sparkSession, store), load, key)
+
+
+def limits_of_missing(records: DataFrame, load: str = "file", key: str = "rec_id", columns: Sequence[str] = FOUND_COLUMNS) -> DataFrame:
+    """Loads whose missing share lies outside the control limits of the loads before, from stored states."""
+    rules = [r for r in RECORD_RULES if r.name in columns]
+    store = new_folder(records.sparkSession, "states")
+    append_states(value_states(once(records, key, [load, *columns]), load, key, rules), store, "all")
+    totals = load_totals(stored_states(records.sparkSession, store), load)
+    return control_limits(totals.select(load, "column_name", (F.col("missing") / F.col("records")).alias("missing_share")), load, "missing_share")
 
 
 def profile(records: DataFrame, load: str = "file", key: str = "rec_id", rules: Sequence[ColumnRule] = RECORD_RULES) -> DataFrame:
@@ -341,7 +379,9 @@ def limits_of_states(records: DataFrame, load: str = "file", key: str = "rec_id"
     Metrics: missing share, broken share, and the distinct count, tested as a logarithm
     so that its limits are in proportion (a tenth at least).
     """
-    s = states(once(records, key, [load, *(r.name for r in rules)]), load, rules)
+    store = new_folder(records.sparkSession, "states")
+    append_states(states(once(records, key, [load, *(r.name for r in rules)]), load, rules), store, "all")
+    s = stored_states(records.sparkSession, store)
     s = durable(s.select(load, "column_name", "records", "missing", "broken", F.hll_sketch_estimate("sketch").alias("distinct")))
     share = lambda c: F.col(c) / F.col("records")
     tested = (("missing_share", share("missing"), 0.02), ("broken_share", share("broken"), 0.02), ("distinct_values", F.log1p("distinct"), 0.1))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, quality, skew
-from ..session import table
+from ..session import new_folder, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,17 +14,24 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per load and column: counters and range, from the mergeable states."""
+    """Per load and column: counters and range, from the mergeable states, and how many values differ, exactly."""
     records = table(spark, sf_dir, "sia_records")
-    return quality.profile(records).drop("distinct_values")
+    counted = quality.distinct_values(records).toDF("f", "c", "distinct_values")
+    states = quality.profile(records).drop("distinct_values")
+    return states.join(counted, states["file"].eqNullSafe(counted["f"]) & (states["column_name"] == counted["c"])).drop("f", "c")
+
+
+def _close(estimate: str, exact: str) -> Column:
+    """Whether a sketch's estimate is within 5 % (three standard errors) of the exact count, or within 2."""
+    return (F.abs(F.col(estimate) - F.col(exact)) <= F.greatest(F.lit(2.0), 0.05 * F.col(exact))).alias("sketch_is_close")
 
 
 def p1_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimated distinct values per column over all loads: the loads' sketches merged."""
+    """Values per column over all loads: exactly, and whether the loads' sketches, merged, come close."""
     records = table(spark, sf_dir, "sia_records")
-    rules = quality.RECORD_RULES
-    s = quality.states(quality.once(records, "rec_id", ["file", *(r.name for r in rules)]), "file", rules)
-    return s.groupBy("column_name").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"))
+    s = quality.states(records, "file", quality.RECORD_RULES)  # repeated rows add nothing to a sketch
+    estimated = s.groupBy("column_name").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+    return estimated.join(quality.distinct_values(records.withColumn("file", F.lit(""))), "column_name").select("column_name", "distinct_values", _close("estimate", "distinct_values"))
 
 
 def p1_load_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,31 +40,29 @@ def p1_load_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merged_halves(spark: SparkSession, sf_dir: str, sketch: bool) -> DataFrame:
+    """States of two halves of every load, by a hash of the record, stored as two batches, read back and added up."""
     records = quality.once(table(spark, sf_dir, "sia_records"), "rec_id", ["file", *(r.name for r in quality.RECORD_RULES)])
-    early = F.coalesce(F.col("competencia") < "202301", F.lit(False))
-    parts = [quality.states(records.where(c), "file", quality.RECORD_RULES, sketch=sketch) for c in (early, ~early)]
-    numeric = ("idade", "qt_aprov", "vl_aprov")
-    return quality.merge_states(*parts, load="file", numeric=numeric)
+    half, store = F.pmod(F.xxhash64("rec_id"), F.lit(2)), new_folder(spark, "states")
+    for i in range(2):
+        quality.append_states(quality.states(records.where(half == i), "file", quality.RECORD_RULES, sketch=sketch), store, str(i))
+    return quality.merge_states(quality.stored_states(spark, store), load="file", numeric=("idade", "qt_aprov", "vl_aprov"))
 
 
 def p1_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The profile of all records, merged from the states of two halves profiled apart."""
+    """The profile of all records, merged from the stored states of two halves of every load profiled apart."""
     return _merged_halves(spark, sf_dir, sketch=False)
 
 
 def p1_incremental_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``p1_incremental`` with the halves' sketches merged too: estimated distinct values per load and column."""
-    return _merged_halves(spark, sf_dir, sketch=True).withColumn("distinct_values", F.hll_sketch_estimate("sketch")).drop("sketch")
+    """Values per load and column: exactly, and whether the halves' sketches, merged, come close."""
+    s = _merged_halves(spark, sf_dir, sketch=True).select(F.col("file").alias("f"), F.col("column_name").alias("c"), F.hll_sketch_estimate("sketch").alias("estimate"))
+    exact = p1_load_distinct(spark, sf_dir)
+    return exact.join(s, exact["file"].eqNullSafe(s["f"]) & (exact["column_name"] == s["c"])).select("file", "column_name", "distinct_values", _close("estimate", "distinct_values"))
 
 
 def p1_control_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads whose missing share lies outside the control limits of the loads before."""
-    records = table(spark, sf_dir, "sia_records")
-    unique = quality.once(records, "rec_id", ["file", *quality.FOUND_COLUMNS])
-    totals = quality.load_totals(quality.histogram(unique, "file", quality.FOUND_COLUMNS), "file")
-    return quality.control_limits(totals.select("file", "column_name", (F.col("missing") / F.col("records")).alias("missing_share")), "file", "missing_share").select(
-        "file", "column_name", F.round("observed", 6).alias("observed"), "history"
-    )
+    return quality.limits_of_missing(table(spark, sf_dir, "sia_records")).select("file", "column_name", F.round("observed", 6).alias("observed"), "history")
 
 
 def p1_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +149,10 @@ def _profile_sql() -> str:
     return f"WITH {_ONCE.format(cols=cols)} " + " UNION ALL ".join(parts)
 
 
+def _profile_with_distinct_sql() -> str:
+    return f"SELECT p.*, x.distinct_values FROM ({_profile_sql()}) p JOIN ({_distinct_sql()}) x ON p.file IS NOT DISTINCT FROM x.file AND p.column_name = x.column_name"
+
+
 def _distinct_sql() -> str:
     there = {c: c if c in _NUMERIC else f"CASE WHEN trim({c}, ' ') <> '' THEN {c} END" for c in _FORM}
     return " UNION ALL ".join(f"SELECT file, '{c}' AS column_name, count(DISTINCT {v}) AS distinct_values FROM sia_records GROUP BY file" for c, v in there.items())
@@ -161,7 +170,9 @@ ORACLE = {
       UNION ALL SELECT 'missing_jump', file, column_name, -1 FROM p WHERE r >= 200 AND pr >= 200 AND 5 * abs(m * pr - pm * r) > r * pr
       UNION ALL SELECT 'shift', file, column_name, -1 FROM (SELECT file, column_name, v, k, pk, abs(sum(x)) AS y FROM v WHERE k >= 200 AND pk >= 200 GROUP BY ALL)
         GROUP BY file, column_name, k, pk HAVING 10 * sum(y) > 8 * k * pk""",
-    "p1_profile": _profile_sql(),
+    "p1_profile": _profile_with_distinct_sql(),
+    "p1_distinct": f"SELECT column_name, distinct_values, true AS sketch_is_close FROM ({_distinct_sql().replace('SELECT file, ', 'SELECT ').replace(' GROUP BY file', '')})",
+    "p1_incremental_distinct": f"SELECT file, column_name, distinct_values, true AS sketch_is_close FROM ({_distinct_sql()})",
     "p1_incremental": _profile_sql(),
     "p1_load_distinct": _distinct_sql(),
     "p1_control_limits": f"""WITH {_ONCE.format(cols=_FOUND_COLS)}, {_SERIES}, {_HIST},

@@ -39,6 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     return existing.get() if existing.isDefined() else own
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    hadoop_path, fs = _file_system(spark, path)
+    fs.deleteOnExit(hadoop_path)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once, written to the shared folder and read back.
 
@@ -46,10 +54,8 @@ def durable(df: DataFrame) -> DataFrame:
     when the driver's JVM ends, or earlier through :func:`release`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
-    hadoop_path, fs = _file_system(spark, path)
-    fs.deleteOnExit(hadoop_path)
     out = spark.read.schema(df.schema).parquet(path)
     out._aroeira_path = path
     return out
