@@ -1,11 +1,17 @@
 """Schemas that drift between files.
 
-The field list of every file is kept as a versioned, order-free fingerprint.  Along
-a series each file is compared with the one before it; the differences are explicit
-migration steps: added, removed, renamed, retyped.  A rename is told from a removal
-and an addition by *content*: the values of both fields, as the raw records show
-them, must have the same profile, and the two names must not stand side by side in
-the corpus.  Raw records are then routed through the chained steps into one table.
+The field list of every file has a fingerprint that does not depend on its order.  Along
+a series a file whose fingerprint differs from that of the file before it starts a new
+version, and the differences are explicit migration steps: added, removed, renamed,
+retyped, each with both fingerprints.  A rename is told from a removal and an addition by
+*content*: the values of both fields, as the raw records show them, must have the same
+profile, and the two names must not stand side by side in the corpus.
+
+Raw records are routed file by file.  The steps of a series, chained, give each field its
+line of descent; lines of different series that share a name fall into one column, unless
+that would put two fields of one file into it.  A value then passes the rename to its
+column, the default (null) where the file lacks the field, and the cast from the file's
+own letter to the column's; what has no place in a column is kept beside.
 
 Defined results: a file whose latest list is null is passed over and the next file
 is compared with the last one that has a list; blank field names are dropped; of two
@@ -15,16 +21,19 @@ are not JSON objects contribute nothing to profiles and come out with null field
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, ship
 from .quality import with_previous
 
 #: Levels of a value profile: its shape, and its first 1, 2 and 4 characters.
 LEVELS = (0, 1, 2, 4)
 WEIGHTS = (2.0, 1.0, 1.0, 1.0)
 LEAST_SIMILARITY = 0.77
+#: How many values of a series weigh as much as the whole corpus when two names are compared.
+CORPUS_VALUES = 2.0
 
 
 def canonical_file(c: Column) -> Column:
@@ -34,7 +43,7 @@ def canonical_file(c: Column) -> Column:
 
 
 def current_lists(metadata: DataFrame) -> DataFrame:
-    """(file, names, kinds): the latest list of each file as a map name -> type letter."""
+    """(file, names, kinds, fields, fingerprint): the latest list of each file as a map name -> type letter."""
     order = F.struct(F.col("loaded_at"), F.to_json("fields").alias("text"))
     latest = metadata.where(F.col("file").isNotNull()).groupBy(canonical_file(F.col("file")).alias("file")).agg(F.max_by(F.struct("fields"), order).alias("l"))
     clean = F.array_sort(
@@ -48,26 +57,22 @@ def current_lists(metadata: DataFrame) -> DataFrame:
     listed = latest.where("l.fields is not null").select("file", clean.alias("f"))
     # a name listed twice counts once, with the first of its letters
     firsts = F.filter("f", lambda x, i: (i == 0) | (F.get(F.col("f"), i - 1)["name"] != x["name"]))
-    return listed.select("file", F.map_from_entries(firsts).alias("kinds")).select("file", F.map_keys("kinds").alias("names"), "kinds")
+    named = listed.select("file", F.map_from_entries(firsts).alias("kinds")).select("file", F.map_keys("kinds").alias("names"), "kinds")
+    text = F.array_join(F.transform("names", lambda n: F.concat(n, F.lit(":"), F.coalesce(F.element_at("kinds", n), F.lit("")))), ",")
+    return named.withColumn("fields", text).withColumn("fingerprint", F.sha2("fields", 256))
 
 
 def versions(lists: DataFrame) -> DataFrame:
-    """(fingerprint, names, files, first_file, last_file): each distinct schema once."""
-    text = F.array_join(F.transform("names", lambda n: F.concat(n, F.lit(":"), F.coalesce(F.element_at("kinds", n), F.lit("")))), ",")
-    return (
-        lists.withColumn("fields", text)
-        .groupBy("fields")
-        .agg(F.count(F.lit(1)).alias("files"), F.min("file").alias("first_file"), F.max("file").alias("last_file"))
-        .select(F.sha2("fields", 256).alias("fingerprint"), "fields", "files", "first_file", "last_file")
-    )
+    """(fingerprint, fields, files, first_file, last_file): each distinct schema once."""
+    return lists.groupBy("fingerprint", "fields").agg(F.count(F.lit(1)).alias("files"), F.min("file").alias("first_file"), F.max("file").alias("last_file"))
 
 
-def steps(lists: DataFrame) -> DataFrame:
-    """(series, file, prev, gone, come, kinds, p_kinds) of each file that has one before it."""
+def transitions(lists: DataFrame) -> DataFrame:
+    """(series, file, from/to fingerprint, gone, come, …) of each file whose fingerprint is not that of the file before it."""
     order = with_previous(lists.select("file"), "file").where("prev is not null")
-    before = lists.select(F.col("file").alias("prev"), F.col("names").alias("p_names"), F.col("kinds").alias("p_kinds"))
-    return order.join(lists, "file").join(before, "prev").select(
-        "series", "file", "prev", "names", "p_names", "kinds", "p_kinds",
+    before = lists.select(F.col("file").alias("prev"), F.col("names").alias("p_names"), F.col("kinds").alias("p_kinds"), F.col("fingerprint").alias("from_fingerprint"))
+    return order.join(lists.withColumnRenamed("fingerprint", "to_fingerprint"), "file").join(before, "prev").where("from_fingerprint <> to_fingerprint").select(
+        "series", "file", "from_fingerprint", "to_fingerprint", "names", "p_names", "kinds", "p_kinds",
         F.array_except("p_names", "names").alias("gone"), F.array_except("names", "p_names").alias("come"),
     )
 
@@ -95,14 +100,13 @@ def profile_feature(value: Column, level: int) -> Column:
 
 
 def feature_counts(values: DataFrame, scope: str) -> DataFrame:
-    """(scope, name, level, feature, c): how often each name's values show a feature."""
+    """(scope, name, level, feature, c): how often each name's values show a feature.
+
+    Equal values are counted before their features are made.
+    """
+    counted = values.where("trim(value) != ''").groupBy(scope, "name", "value").agg(F.count(F.lit(1)).alias("c"))
     features = F.array(*(F.struct(F.lit(i).alias("level"), profile_feature(F.col("value"), k).alias("feature")) for i, k in enumerate(LEVELS)))
-    return (
-        values.where("trim(value) != ''")
-        .select(scope, "name", F.explode(features).alias("f"))
-        .groupBy(scope, "name", "f.level", "f.feature")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
+    return counted.select(scope, "name", "c", F.explode(features).alias("f")).groupBy(scope, "name", "f.level", "f.feature").agg(F.sum("c").alias("c"))
 
 
 def profiles(counts: DataFrame, scope: str) -> DataFrame:
@@ -143,9 +147,10 @@ def side_by_side(lists: DataFrame, pairs: DataFrame) -> DataFrame:
 def renames(lists: DataFrame, diff: DataFrame, raw: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """(file, a, b): field ``a`` of the file before is field ``b`` of this file.
 
-    Two profiles are compared within the series and over the whole corpus and the
-    better agreement counts.  Within a file each name takes part in one rename at most; the most similar
-    pairs are taken first.
+    Two profiles are compared within the series and over the whole corpus.  The series'
+    agreement counts by the number of its values against ``CORPUS_VALUES`` values' worth
+    of the corpus' agreement, and never lowers it.  Within a file each name takes part in
+    one rename at most; the most similar pairs are taken first.
     """
     pairs = diff.where((F.size("gone") > 0) & (F.size("come") > 0)).select("series", "file", F.explode("gone").alias("a"), "come").select("series", "file", "a", F.explode("come").alias("b"))
     kinds = pairs.select("a", "b").distinct()
@@ -158,8 +163,8 @@ def renames(lists: DataFrame, diff: DataFrame, raw: DataFrame, least: float = LE
     local = similarity(pairs.select("series", "a", "b").distinct(), profiles(counts, "series"), "series", "near")
     summed = counts.groupBy(F.lit(1).alias("all"), "name", "level", "feature").agg(F.sum("c").alias("c"))
     world = similarity(pairs.select(F.lit(1).alias("all"), "a", "b").distinct(), profiles(summed, "all"), "all", "far").drop("all")
-    near = F.when(F.col("near_least") >= 8, F.col("near"))
-    score = F.coalesce(F.greatest(near, F.col("far")), F.col("near"))
+    n = F.col("near_least")
+    score = F.coalesce(F.greatest(F.col("far"), (n * F.col("near") + CORPUS_VALUES * F.col("far")) / (n + CORPUS_VALUES)), F.col("near"))
     alike = F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
     scored = (
         pairs.join(local, ["series", "a", "b"], "left").join(world, ["a", "b"], "left")
@@ -174,10 +179,9 @@ def renames(lists: DataFrame, diff: DataFrame, raw: DataFrame, least: float = LE
     return ranked.select("file", F.explode(chosen).alias("r")).select("file", "r.a", "r.b")
 
 
-def changes(metadata: DataFrame, raw: DataFrame) -> DataFrame:
-    """(file, change_kind, old_name, new_name): every change of a file against the file before it."""
-    lists = durable(current_lists(metadata))  # one row per file, read by every later step
-    diff = steps(lists)
+def steps(lists: DataFrame, raw: DataFrame) -> DataFrame:
+    """(series, file, from_fingerprint, to_fingerprint, change_kind, old_name, new_name): every migration step."""
+    diff = transitions(lists)
     moved = renames(lists, diff, raw).groupBy("file").agg(F.collect_list(F.struct("a", "b")).alias("moved"))
     d = diff.join(moved, "file", "left").withColumn("moved", F.coalesce("moved", F.expr("cast(array() as array<struct<a:string,b:string>>)")))
 
@@ -192,29 +196,96 @@ def changes(metadata: DataFrame, raw: DataFrame) -> DataFrame:
         F.transform(F.filter("moved", lambda m: differs(m["a"], m["b"])), lambda m: row("retyped", m["a"], m["b"])),
         F.transform(F.filter(F.array_intersect("names", "p_names"), lambda n: differs(n, n)), lambda n: row("retyped", n, n)),
     )
-    return d.select("file", F.explode(rows).alias("r")).select("file", "r.*")
+    return d.select("series", "file", "from_fingerprint", "to_fingerprint", F.inline(rows))
 
 
-def concepts(found: DataFrame, lists: DataFrame) -> DataFrame:
-    """(name, concept): names linked by renames share the name that most files use.
+def changes(metadata: DataFrame, raw: DataFrame) -> DataFrame:
+    """(file, change_kind, old_name, new_name): every change of a file against the file before it."""
+    lists = durable(current_lists(metadata))  # one row per file, read by every later step
+    return steps(lists, raw).select("file", "change_kind", "old_name", "new_name")
 
-    The vocabulary of field names is small and does not grow with records; distinct
-    rename edges are closed on the driver.
-    """
-    spark = lists.sparkSession
-    use = {r["name"]: r["n"] for r in lists.select(F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}
-    edges = found.where("change_kind = 'renamed'").select("old_name", "new_name").distinct().collect()
-    root = {n: n for n in use}
 
-    def top(n: str) -> str:
-        while root.setdefault(n, n) != n:
-            n = root[n]
-        return n
+def lines_of_descent(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """(file, name, line): the field that a name stands for in a file, followed through the renames of its series.
 
-    for a, b in sorted((e["old_name"], e["new_name"]) for e in edges):
-        a, b = sorted((top(a), top(b)), key=lambda n: (-use.get(n, 0), n))
-        root[b] = a
-    return spark.createDataFrame([(n, top(n)) for n in sorted(root)], "name string, concept string")
+    A series has at most one file a month of its four digits, so it fits one task.
+    """
+    moved = found.where("change_kind = 'renamed'").groupBy("file").agg(F.collect_list(F.struct("new_name", "old_name")).alias("moved"))
+    order = with_previous(lists.select("file"), "file").select("file", "series", "yymm")
+    whole = lists.select("file", "names").join(order, "file", "left").join(moved, "file", "left").withColumn("series", F.coalesce("series", "file"))
+
+    def walk(files: pd.DataFrame) -> pd.DataFrame:
+        out, now, made = [], {}, 0
+        for f in files.sort_values(["yymm", "file"]).itertuples():
+            came_from = {} if f.moved is None else {m["new_name"]: m["old_name"] for m in f.moved}
+            after = {}
+            for n in f.names:
+                line = now.get(came_from.get(n, n))
+                if line is None:
+                    line, made = f"{f.series}#{made}", made + 1
+                after[n] = line
+                out.append((f.file, n, line))
+            now = after
+        return pd.DataFrame(out, columns=["file", "name", "line"])
+
+    ship(lists.sparkSession)
+    return whole.select("series", "yymm", "file", "names", "moved").groupBy("series").applyInPandas(walk, "file string, name string, line string")
+
+
+def columns_of(uses: dict[tuple[str, ...], dict[str, int]], together: set[frozenset]) -> dict[tuple[str, ...], str]:
+    """The column of each kind of line.  A kind is the set of names its lines go by, with ``uses``, the files of each name.
+
+    Kinds that share a name become one column, those with most files and fewest other
+    names first, unless kinds of both sides stand ``together`` in a file.  A column is called by the name most files
+    use; of two columns with the same first name the smaller takes its next.
+    """
+    group = {k: k for k in uses}
+    members = {k: [k] for k in uses}
+    by_name: dict[str, list] = {}
+    for k in uses:
+        for n in k:
+            by_name.setdefault(n, []).append(k)
+    pairs = {(a, b) for ks in by_name.values() for a in ks for b in ks if a < b}
+    strength = {(a, b): sum(min(uses[a].get(n, 0), uses[b].get(n, 0)) for n in set(a) & set(b)) / len(set(a) | set(b)) for a, b in pairs}
+    for a, b in sorted(pairs, key=lambda p: (-strength[p], p)):
+        x, y = group[a], group[b]
+        if x != y and not any(frozenset((i, j)) in together for i in members[x] for j in members[y]):
+            for k in members[y]:
+                group[k] = x
+            members[x] += members.pop(y)
+    total = {g: {n: sum(uses[k].get(n, 0) for k in ks) for n in {n for k in ks for n in k}} for g, ks in members.items()}
+    names: dict[tuple[str, ...], str] = {}
+    for g in sorted(members, key=lambda g: (-sum(total[g].values()), g)):
+        wished = sorted(total[g], key=lambda n: (-total[g][n], n))
+        free = [n for n in wished if n not in names.values()]
+        names[g] = free[0] if free else next(x for i in range(2, len(names) + 3) if (x := f"{wished[0]}_{i}") not in names.values())
+    return {k: names[g] for k, g in group.items()}
+
+
+def routes(lists: DataFrame, found: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """((file, name, column), name -> column of a file without a list).
+
+    The driver sees the distinct kinds of lines and which of them stand in one file: the
+    vocabulary of field names and its variants, which does not grow with the files.
+    """
+    lines = durable(lines_of_descent(lists, found))
+    kinds = lines.groupBy("line").agg(F.array_join(F.array_sort(F.collect_set("name")), "\n").alias("kind"))
+    lines = durable(lines.join(kinds, "line").select("file", "name", "kind"))
+    uses: dict[tuple[str, ...], dict[str, int]] = {}
+    for r in lines.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("files")).collect():
+        uses.setdefault(tuple(r["kind"].split("\n")), {})[r["name"]] = r["files"]
+    met = lines.groupBy("file").agg(F.array_sort(F.collect_list("kind")).alias("kinds")).select("kinds").distinct().collect()
+    together = set()
+    for r in met:
+        ks = [tuple(k.split("\n")) for k in r["kinds"]]
+        together |= {frozenset((a, b)) for i, a in enumerate(ks) for b in ks[i + 1 :]}
+    column = columns_of(uses, together)
+    most: dict[str, tuple[int, str]] = {}
+    for k, files in uses.items():
+        for n, f in files.items():
+            most[n] = max(most.get(n, (0, "")), (f, column[k]))
+    of = lookup({"\n".join(k): c for k, c in column.items()}, F.col("kind"))
+    return lines.select("file", "name", of.alias("column")), {n: c for n, (_, c) in most.items()}
 
 
 def lookup(entries: dict, key: Column, kind: str = "string") -> Column:
@@ -223,18 +294,17 @@ def lookup(entries: dict, key: Column, kind: str = "string") -> Column:
     return F.element_at(F.create_map(*known), key) if known else F.lit(None).cast(kind)
 
 
-def code_widths(raw: DataFrame, lists: DataFrame, concept_of: dict[str, str], least: float = 0.9) -> dict[str, int]:
-    """Width of the concepts whose values in files that call them text are digits of one length.
+def code_widths(raw: DataFrame, own: DataFrame, least: float = 0.9) -> dict[str, int]:
+    """Width of the columns whose values in files that call them text are digits of one length.
 
     A number has no leading zeros, so a code retyped to N gets them back from this.
     """
-    own = lists.select("file", F.explode("kinds").alias("name", "own")).where("own = 'C'").select("file", "name")
     lengths = (
-        payload_values(raw).where(F.trim("value").rlike(r"\A[0-9]+\z")).join(own, ["file", "name"])
-        .groupBy(lookup(concept_of, F.col("name")).alias("concept"), F.length(F.trim("value")).alias("width")).agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("concept").agg(F.max_by("width", "n").alias("width"), (F.max("n") / F.sum("n")).alias("share"))
+        payload_values(raw).where(F.trim("value").rlike(r"\A[0-9]+\z")).join(own.where("kind = 'C'").select("file", "name", "column"), ["file", "name"])
+        .groupBy("column", F.length(F.trim("value")).alias("width")).agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("column").agg(F.max_by("width", "n").alias("width"), (F.max("n") / F.sum("n")).alias("share"))
     )
-    return {r["concept"]: r["width"] for r in lengths.where(F.col("share") >= least).collect()}
+    return {r["column"]: r["width"] for r in lengths.where(F.col("share") >= least).collect()}
 
 
 def plain(value: Column, own: Column, kind: Column, width: Column) -> Column:
@@ -257,45 +327,51 @@ def plain(value: Column, own: Column, kind: Column, width: Column) -> Column:
 
 
 def consistent(raw: DataFrame, metadata: DataFrame) -> DataFrame:
-    """All raw records in one table: (file, line_no, readable, one column per concept, rejects).
+    """All raw records in one table: (file, line_no, readable, one column per field, rejects).
 
-    Each file's fields pass the rename rules to their concept, default to null where
-    the file lacks them, and are cast from the file's own letter to the letter most
-    files give the concept: N double, D date, L boolean, otherwise trimmed text.
+    Each file's fields pass the chained rename steps of its series to their column,
+    default to null where the file lacks them, and are cast from the file's own letter to
+    the letter most files give the column: N double, D date, L boolean, otherwise trimmed text.
     ``rejects`` keeps as (name, value) what has no place in a column: values that fit
-    no cast, fields in no list, a second field of the same concept, and the whole of
+    no cast, fields in no list, a second field of the same column, and the whole of
     an unreadable payload (its name is empty).
     """
     lists = durable(current_lists(metadata))
-    names = concepts(changes(metadata, raw), lists)
-    letter = (
-        lists.select(F.explode("kinds").alias("name", "kind")).join(F.broadcast(names), "name").groupBy("concept", "kind").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("concept").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind")).orderBy("concept").collect()
-    )
-    concept_of = {r["name"]: r["concept"] for r in names.collect()}
-    kind_of = {r["concept"]: r["kind"] for r in letter}
-    width_of = code_widths(raw, lists, concept_of)
+    route, default_of = routes(lists, durable(steps(lists, raw)))
+    own = durable(lists.select("file", F.explode("kinds").alias("name", "kind")).join(route, ["file", "name"]))
+    letter = own.groupBy("column", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("column").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind")).orderBy("column").collect()
+    kind_of = {r["column"]: r["kind"] for r in letter}
+    width_of = code_widths(raw, own)
+    rules = own.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("column", "kind")))).alias("rules"))
 
     lines = raw.select(canonical_file(F.col("file")).alias("file"), "line_no", "payload").dropDuplicates().withColumn("m", F.from_json("payload", "map<string,string>"))
-    lines = lines.join(lists.select("file", "kinds"), "file", "left")
+    lines = lines.join(rules, "file", "left")
 
     def field(e: Column) -> Column:
         name, value = F.upper(F.trim(e["key"])), F.trim(e["value"])
-        concept = lookup(concept_of, name)
-        fits = plain(value, F.element_at("kinds", name), lookup(kind_of, concept), lookup(width_of, concept, "int"))
-        fits = F.when(concept.isNotNull(), fits)
-        return F.struct(concept.alias("concept"), fits.isNull().alias("out"), (name != concept).alias("other"), name.alias("name"), fits.alias("fits"), value.alias("value"))
+        listed = F.element_at("rules", name)
+        # a file without a list, or a field its list lacks, goes by what most files mean
+        column = F.coalesce(listed["column"], lookup(default_of, name))
+        fits = F.when(column.isNotNull(), plain(value, listed["kind"], lookup(kind_of, column), lookup(width_of, column, "int")))
+        return F.struct(column.alias("column"), fits.isNull().alias("out"), listed.isNull().alias("other"), name.alias("name"), fits.alias("fits"), value.alias("value"))
 
     there = F.filter(F.map_entries("m"), lambda e: F.trim(e["value"]) != "")
     fields = lines.select("file", "line_no", "payload", F.col("m").isNotNull().alias("readable"), F.array_sort(F.transform(there, field)).alias("fields"))
-    # sorted by concept, what fits first: the first of each concept is the column's
-    second = F.transform("fields", lambda e, i: F.struct(e.alias("e"), (e["out"] | ((i > 0) & F.get(F.col("fields"), i - 1)["concept"].eqNullSafe(e["concept"]))).alias("left")))
+    # sorted by column, what fits first: the first of each column is its value
+    second = F.transform("fields", lambda e, i: F.struct(e.alias("e"), (e["out"] | ((i > 0) & F.get(F.col("fields"), i - 1)["column"].eqNullSafe(e["column"]))).alias("left")))
     split = fields.select("file", "line_no", "payload", "readable", second.alias("s"))
     reject = F.transform(F.filter("s", lambda x: x["left"]), lambda x: F.struct(x["e"]["name"].alias("name"), x["e"]["value"].alias("value")))
     whole = F.array(F.struct(F.lit("").alias("name"), F.col("payload").alias("value")))
     rejects = F.when(~F.col("readable") & (F.trim("payload") != ""), whole).otherwise(F.coalesce(reject, F.expr("cast(array() as array<struct<name:string,value:string>>)")))
-    taken = F.map_from_entries(F.transform(F.filter("s", lambda x: ~x["left"]), lambda x: F.struct(x["e"]["concept"], x["e"]["fits"])))
+    taken = F.map_from_entries(F.transform(F.filter("s", lambda x: ~x["left"]), lambda x: F.struct(x["e"]["column"], x["e"]["fits"])))
     out = split.select("file", "line_no", "readable", taken.alias("taken"), rejects.alias("rejects"))
     types = {"N": "double", "D": "date", "L": "boolean"}
-    columns = (F.element_at("taken", r["concept"]).cast(types.get(r["kind"], "string")).alias(r["concept"]) for r in letter)
+    columns = (F.element_at("taken", r["column"]).cast(types.get(r["kind"], "string")).alias(r["column"]) for r in letter)
     return out.select("file", "line_no", "readable", *columns, "rejects")
+
+
+def kept_values(table: DataFrame) -> DataFrame:
+    """(file, records, kept_values): how many records and values of each file are in the consistent table, rejects included."""
+    fields = [c for c in table.columns if c not in ("file", "line_no", "readable", "rejects")]
+    filled = sum((F.when(F.col(f"`{c}`").isNotNull(), 1).otherwise(0) for c in fields), F.size("rejects"))
+    return table.groupBy("file").agg(F.count(F.lit(1)).alias("records"), F.sum(filled).cast("bigint").alias("kept_values"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, quality, skew
-from ..session import new_folder, table
+from ..session import durable, new_folder, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,17 @@ def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.consistent(table(spark, sf_dir, "raw_records"), table(spark, sf_dir, "file_metadata"))
 
 
+def p2_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every migration step with the fingerprints it leads from and to."""
+    lists = durable(drift.current_lists(table(spark, sf_dir, "file_metadata")))
+    return drift.steps(lists, table(spark, sf_dir, "raw_records"))
+
+
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and values of each file that are in the consistent table: all there are."""
+    return drift.kept_values(p2_table(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skew.dominant(table(spark, sf_dir, "sia_records"), ["sexo", "cges"], "rec_id")
 
@@ -109,7 +120,7 @@ def p3_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_profile, p1_distinct, p1_load_distinct, p1_incremental, p1_incremental_distinct, p1_control_limits, p1_departures, p1_limits_all, p2_found, p2_versions, p2_table, p3_found, p3_per_key, p3_join)
+    for f in (p1_found, p1_profile, p1_distinct, p1_load_distinct, p1_incremental, p1_incremental_distinct, p1_control_limits, p1_departures, p1_limits_all, p2_found, p2_versions, p2_steps, p2_table, p2_kept, p3_found, p3_per_key, p3_join)
 }
 
 _ONCE = "d AS (SELECT rec_id, file, {cols} FROM sia_records GROUP BY ALL)"
@@ -185,6 +196,9 @@ ORACLE = {
         SELECT file, upper(trim(x.name)) AS n, min(upper(trim(x.type))) AS k FROM (
           SELECT file, unnest(fields) AS x FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY loaded_at DESC) AS r FROM file_metadata) WHERE r = 1)
         GROUP BY ALL) GROUP BY file) GROUP BY f""",
+    "p2_kept": r"""WITH r AS (SELECT DISTINCT lower(regexp_extract(file, '([^/\s]+)/([A-Za-z]{4}[0-9]{4})\.[dD][bB][cC]\s*$', 1)) || '/' || upper(regexp_extract(file, '([^/\s]+)/([A-Za-z]{4}[0-9]{4})\.[dD][bB][cC]\s*$', 2)) || '.dbc' AS file, line_no, payload FROM raw_records),
+      v AS (SELECT file, payload, CASE WHEN json_valid(payload) THEN len(list_filter(json_keys(payload), lambda k: coalesce(trim(json_extract_string(payload, '$."' || k || '"'), ' ') <> '', false))) WHEN trim(payload, ' ') <> '' THEN 1 ELSE 0 END AS n FROM r)
+      SELECT file, count(*) AS records, CAST(sum(n) AS BIGINT) AS kept_values FROM v GROUP BY file""",
     "p3_found": """WITH d AS (SELECT rec_id, sexo, cges FROM sia_records GROUP BY ALL), n AS (SELECT count(*) AS n FROM d),
       k AS (SELECT 'sexo' AS column_name, sexo AS key_value, count(*) AS c FROM d GROUP BY ALL UNION ALL SELECT 'cges', cges, count(*) FROM d GROUP BY ALL)
       SELECT column_name, key_value FROM k, n WHERE trim(key_value, ' ') <> '' AND 20 * c >= n""",

@@ -172,6 +172,22 @@ def test_one_table_keeps_every_value(spark):
     assert got[f[5], 2] == (None, None, None, None, [("", '{"DAY": "20')]) and got[f[6], 0] == (None, None, "0071", None, [])
 
 
+def test_names_that_meet_keep_their_columns(spark):
+    """A becomes B in one series and B becomes C in another; a third file holds both A and C: no value is lost."""
+    f = {x: f"n0/{x}.dbc" for x in ("PASP2301", "PASP2302", "PARJ2301", "PARJ2302", "PAMG2301", "PAMG2302")}
+    meta = lists(spark, [(f["PASP2301"], [("A", "C")], T0), (f["PASP2302"], [("B", "C")], T0), (f["PARJ2301"], [("B", "C")], T0), (f["PARJ2302"], [("C", "C")], T0)] + [(f[x], [("A", "C"), ("C", "C")], T0) for x in ("PAMG2301", "PAMG2302")])
+    same = lambda *names: [{n: f"v{i % 7}" for n in names} for i in range(20)]
+    raw = raws(spark, {f["PASP2301"]: same("A"), f["PASP2302"]: same("B"), f["PARJ2301"]: same("B"), f["PARJ2302"]: same("C"), f["PAMG2301"]: same("A", "C"), f["PAMG2302"]: same("A", "C")})
+    assert bag(drift.changes(meta, raw)) == [(f["PARJ2302"], "renamed", "B", "C"), (f["PASP2302"], "renamed", "A", "B")]
+    whole = drift.consistent(raw, meta)
+    assert whole.columns == ["file", "line_no", "readable", "A", "C", "rejects"] and whole.where("size(rejects) > 0").count() == 0
+    got = {r.file: (r.a, r.c) for r in whole.groupBy("file").agg(F.count("A").alias("a"), F.count("C").alias("c")).collect()}
+    assert got == {f["PASP2301"]: (20, 0), f["PASP2302"]: (20, 0), f["PARJ2301"]: (0, 20), f["PARJ2302"]: (0, 20), f["PAMG2301"]: (20, 20), f["PAMG2302"]: (20, 20)}
+    assert {r.kept_values for r in drift.kept_values(whole).collect()} == {20, 40}
+    s = drift.steps(drift.current_lists(meta), raw).collect()
+    assert len({(r.from_fingerprint, r.to_fingerprint) for r in s}) == 2 and all(r.from_fingerprint != r.to_fingerprint for r in s)
+
+
 def test_drift_of_nothing(spark):
     empty, none = lists(spark, []), raws(spark, {})
     assert drift.changes(empty, none).count() == 0
