@@ -11,6 +11,7 @@ import binascii
 import html
 import quopri
 import re
+import sys
 
 _HEADER = re.compile(r"[!-9;-~]+:")
 _PARAM = re.compile(r"""boundary\s*=\s*(?:"([^"]*)"|([^\s;]+))""", re.I)
@@ -73,11 +74,16 @@ def split_message(text: str) -> tuple[dict[str, str], str]:
 
 
 def readable(text: str, depth: int = 0) -> str:
-    """The text parts of a message, decoded; of alternatives the plain one."""
+    """The text parts of a message, decoded; of alternatives the plain one.
+
+    Parts may be nested as deep as the text is long.
+    """
+    if not depth and (deep := text.lower().count("boundary") + 200) * 3 > sys.getrecursionlimit():
+        sys.setrecursionlimit(3 * deep)  # frames of Python functions are not on the C stack
     head, body = split_message(text)
     kind = head.get("content-type", "text/plain")
     base = kind.partition(";")[0].strip().lower()
-    if base.startswith("multipart/") and depth < 8:
+    if base.startswith("multipart/") :
         m = _PARAM.search(kind)
         if m and (boundary := m[1] or m[2]) and f"--{boundary}" in body:
             mark = rf"(?:\A|\n)--{re.escape(boundary)}"
@@ -92,7 +98,8 @@ def readable(text: str, depth: int = 0) -> str:
                         if k.startswith(want) and (t := readable(p, depth + 1)).strip():
                             return t
                 return ""
-            return "\n\n".join(readable(p, depth + 1) for _, p in read)
+            texts = [readable(p, depth + 1) for _, p in read]
+            return "\n\n".join(texts)
     if depth and ("attachment" in head.get("content-disposition", "").lower() or not base.startswith("text/") or base == "text/csv"):
         return ""
     c = _CHARSET.search(kind)

@@ -5,12 +5,14 @@ subjects) is factored by non-negative alternating updates under the Kullback-Lei
 objective.  Every subject of the list is one *anchored* component: its seed holds the
 terms that stand out in messages labelled with it, and a sentence's mixture may only
 use subjects its message was labelled with; multiplicative updates keep both zeros.
-One further component holds the common language.  The components give each term its
-weight of evidence per subject, so every sentence of the corpus gets its subject
-mixture; a message treats the subjects that at least three of its sentences are on.
+One further component holds the common language.
 
-The factorization is fitted on a bounded sample of labelled messages
-(``FIT_MESSAGES``, those of smallest hash); it is applied to all messages alike.
+The components are fitted on a bounded sample of labelled messages (``FIT_MESSAGES``,
+those of smallest hash).  Then they are held fixed, and the same multiplicative updates
+give every sentence of the corpus its factor row, a batch of messages at a time: its
+terms shared out between subjects and common language.  A sentence is on the subject
+that explains most of its terms; a message treats the subjects that at least three of
+its sentences are on.
 
 Defined results: a null, empty or blank message has no subjects; labels of unknown
 messages, unknown subjects, null labels and repeated labels are harmless; without any
@@ -43,17 +45,39 @@ SEED_SHARE = 0.3
 #: this one, or 1.3 times the subject's share of all sentences if that is more.
 SEED_CHANCE = 0.2
 SEED_SURPLUS = 2.5
-GENERIC_COST = 0.03
-LEAST_EVIDENCE = 1.0
+#: A term has a row in the model if a subject's component holds it at least so many times as the common one.
+LEAST_LIFT = 1.2
+#: Rounds of updates that share a sentence's terms out between fixed components.
+APPLY_ROUNDS = 4
+#: A term of the common language alone counts this much against a term of a subject.
+COMMON_WEIGHT = 0.2
+#: Terms that a message's sentences on a subject lend, on a logarithmic scale, to its other sentences.
+MESSAGE_PRIOR = 0.6
+#: A sentence is on the subject that explains most of its terms, if it explains so many.
+LEAST_TERMS = 0.8
 LEAST_SENTENCES = 3
+REMEMBERED_TERMS = 400_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _FOLD = str.maketrans("áàâãäåéèêëíìîïóòôõöúùûüçñýÿ", "aaaaaaeeeeiiiiooooouuuucnyy")
 
 
+class _Folded(dict):
+    """Words without accents, remembered."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= REMEMBERED_TERMS:
+            self.clear()
+        self[word] = folded = word.translate(_FOLD)
+        return folded
+
+
+_FOLDED = _Folded()
+
+
 def terms(sentence: str) -> list[str]:
     """Words without case and accents, and pairs of neighbours, each once."""
-    words = _WORD.findall(sentence.lower().translate(_FOLD))
+    words = list(map(_FOLDED.__getitem__, _WORD.findall(sentence.lower())))
     return list(dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]))
 
 
@@ -63,60 +87,94 @@ def _without_one(word: str) -> list[str]:
 
 @dataclass
 class SubjectModel:
-    """Evidence per term: term -> ((subject number, weight), ...)."""
+    """The fitted components: ``terms`` numbers the rows of ``h``, one column per subject and the common language last.
+
+    Only terms that some subject lifts above the common language have a row; every other
+    term, known or not, speaks for the common language alone.
+    """
 
     subjects: list[str]
-    evidence: dict[str, tuple[tuple[int, float], ...]]
+    terms: dict[str, int]
+    h: np.ndarray
     known: set[str]
-    near: dict[str, str] = field(default_factory=dict)
+    near: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        for w in sorted(self.evidence):
-            if " " not in w and len(w) >= 5 and max(x for _, x in self.evidence[w]) > 2:
+        lift = self.h[:, :-1].max(axis=1, initial=0.0) / np.maximum(self.h[:, -1], 1e-12) if len(self.h) else np.zeros(0)
+        for w in sorted(self.terms):
+            if " " not in w and len(w) >= 5 and lift[self.terms[w]] > 20:
                 for v in (w, *_without_one(w)):
-                    self.near.setdefault(v, w)
-
-    def _misspelt(self, word: str) -> str | None:
-        if len(word) < 5 or word in self.known:
-            return None
-        for v in (word, *_without_one(word)):
-            if v in self.near:
-                return self.near[v]
-        return None
-
-    def mixture(self, sentence: str) -> list[float]:
-        """Evidence for each subject in one sentence."""
-        score = [0.0] * len(self.subjects)
-        found = terms(sentence)
-        get = self.evidence.get
-        generic = 0
-        for t in found:
-            e = get(t)
-            if e is None and " " not in t and (near := self._misspelt(t)):
-                e = get(near)
-            if e is None:
-                generic += 1
-            else:
-                for s, x in e:
-                    score[s] += x
-        return [x - GENERIC_COST * generic for x in score]
-
-    def subject_of(self, sentence: str, prior: list[float] | None = None) -> int:
-        """Number of the sentence's subject, or -1."""
-        score = self.mixture(sentence)
-        ranked = [x + (prior[i] if prior else 0.0) for i, x in enumerate(score)]
-        best = max(range(len(score)), key=ranked.__getitem__)
-        return best if score[best] >= LEAST_EVIDENCE else -1
-
-    def counts(self, text_sentences: list[str]) -> list[int]:
-        """Sentences on each subject; a word that fits two subjects follows the rest of the message."""
-        first = [self.subject_of(s) for s in text_sentences]
-        n = Counter(x for x in first if x >= 0)
-        prior = [float(np.log1p(n.get(i, 0))) for i in range(len(self.subjects))]
-        out = [0] * len(self.subjects)
-        for s, x in zip(text_sentences, first):
-            if x >= 0:
-                out[self.subject_of(s, prior)] += 1
+                    self.near.setdefault(v, self.terms[w])
+        self._rows: dict[str, int] = {}
+
+    def _row(self, word: str) -> int:
+        """The row of a term, of the word it misspells, or -1; remembered."""
+        row = self.terms.get(word, -1)
+        if row < 0 and " " not in word and len(word) >= 5 and word not in self.known:
+            row = next((self.near[v] for v in (word, *_without_one(word)) if v in self.near), -1)
+        if len(self._rows) >= REMEMBERED_TERMS:
+            self._rows.clear()
+        self._rows[word] = row
+        return row
+
+    def mixtures(self, sentences_: list[str], message: np.ndarray) -> np.ndarray:
+        """The factor row of every sentence with ``h`` held fixed: its terms shared out between the components.
+
+        Multiplicative updates under the Kullback-Leibler objective, twice: once for the
+        sentence alone and once with the mixture of its ``message`` (a number per
+        sentence) as prior, so that a word that fits two subjects follows its message.
+        """
+        n, k = len(sentences_), len(self.subjects)
+        i, j, common = [], [], np.zeros(n)
+        get = self._rows.get
+        for s, text in enumerate(sentences_):
+            for t in terms(text):
+                row = get(t)
+                if row is None:
+                    row = self._row(t)
+                if row < 0:
+                    common[s] += 1
+                else:
+                    i.append(s)
+                    j.append(row)
+        if not i:
+            return np.zeros((n, k))
+        i, hj = np.array(i), self.h[np.array(j)]
+        starts = np.searchsorted(i, np.arange(n))
+        empty = np.bincount(i, minlength=n) == 0
+        total = np.bincount(i, minlength=n) + common * COMMON_WEIGHT
+        prior = np.zeros((n, k + 1))
+        for _ in range(2):
+            weight = (total + prior.sum(axis=1))[:, None]
+            share = np.full((n, k + 1), SUBJECT_SHARE / k)
+            share[:, k] = 1 - SUBJECT_SHARE
+            for _ in range(APPLY_ROUNDS):
+                part = share[i] * hj
+                part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
+                got = np.add.reduceat(part, np.minimum(starts, len(i) - 1), axis=0)
+                got[empty] = 0
+                out = got + prior
+                out[:, k] += common * COMMON_WEIGHT
+                share = out / np.maximum(weight, 1e-12)
+            per_message = np.zeros((message.max() + 1, k))
+            np.add.at(per_message, message, (got[:, :k] >= LEAST_TERMS).astype(float))
+            prior[:, :k] = MESSAGE_PRIOR * np.log1p(per_message)[message]
+        return got[:, :k]
+
+    def subject_of(self, texts: list[str], message: np.ndarray | None = None) -> np.ndarray:
+        """Number of each sentence's subject, or -1."""
+        if not len(texts):
+            return np.zeros(0, dtype=int)
+        got = self.mixtures(texts, np.zeros(len(texts), dtype=int) if message is None else message)
+        best = got.argmax(axis=1)
+        return np.where(got[np.arange(len(best)), best] >= LEAST_TERMS, best, -1)
+
+    def counts(self, messages: list[list[str]]) -> np.ndarray:
+        """(messages x subjects): how many sentences of each message are on each subject."""
+        out = np.zeros((len(messages), len(self.subjects)), dtype=int)
+        message = np.repeat(np.arange(len(messages)), [len(m) for m in messages])
+        subject = self.subject_of([s for m in messages for s in m], message)
+        np.add.at(out, (message[subject >= 0], subject[subject >= 0]), 1)
         return out
 
 
@@ -142,7 +200,7 @@ def fit(messages: list[tuple[list[str], set[str]]], subjects: list[str]) -> Subj
     vocabulary = {t: j for j, t in enumerate(sorted(t for t, n in used.items() if n >= 2))}
     k, v, n = len(subjects), len(vocabulary), len(rows)
     if not v:
-        return SubjectModel(subjects, {}, set())
+        return SubjectModel(subjects, {}, np.zeros((0, k + 1)), set())
     inside = [[vocabulary[t] for t in ts if t in vocabulary] for ts in rows]
     i = np.repeat(np.arange(n), [len(x) for x in inside])
     j = np.fromiter((c for x in inside for c in x), dtype=np.int64, count=len(i))
@@ -187,15 +245,10 @@ def fit(messages: list[tuple[list[str], set[str]]], subjects: list[str]) -> Subj
         h = h * np.add.reduceat(w[i2] * q[order][:, None], starts, axis=0).T
         h /= np.maximum(h.sum(axis=1, keepdims=True), 1e-12)
 
-    floor = 0.5 / max(total.sum(), 1.0)
-    ratio = (h[:k] + 1e-12) / (h[k] + floor)
-    weight = np.log(SUBJECT_SHARE * ratio + (1 - SUBJECT_SHARE))
-    evidence: dict[str, tuple[tuple[int, float], ...]] = {}
-    for t, c in vocabulary.items():
-        e = tuple((s, float(min(weight[s, c], 6.0))) for s in range(k) if weight[s, c] > 0.05)
-        if e:
-            evidence[t] = e
-    return SubjectModel(subjects, evidence, set(vocabulary))
+    h[k] += 0.5 / max(total.sum(), 1.0)
+    lifted = np.flatnonzero(h[:k].max(axis=0) > LEAST_LIFT * h[k])
+    row = {int(c): r for r, c in enumerate(lifted)}
+    return SubjectModel(subjects, {t: row[c] for t, c in vocabulary.items() if c in row}, np.ascontiguousarray(h[:, lifted].T), set(vocabulary))
 
 
 def labelled_messages(documents: DataFrame, labels: DataFrame, limit: int = FIT_MESSAGES) -> list[tuple[list[str], set[str]]]:
@@ -223,19 +276,16 @@ def labelled_messages(documents: DataFrame, labels: DataFrame, limit: int = FIT_
 
 def assign(documents: DataFrame, model: SubjectModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, subject): the subjects each message treats in three sentences or more."""
-    shared = ship(documents.sparkSession).sparkContext.broadcast((model.subjects, model.evidence, model.known))
+    shared = ship(documents.sparkSession).sparkContext.broadcast((model.subjects, model.terms, model.h, model.known))
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches):
         m = SubjectModel(*shared.value)
+        names = pa.array(m.subjects, pa.string())
         for batch in batches:
-            keys, subjects = [], []
-            for row, t in enumerate(batch.column(1).to_pylist()):
-                for s, n in enumerate(m.counts(sentences(t))):
-                    if n >= LEAST_SENTENCES:
-                        keys.append(row)
-                        subjects.append(m.subjects[s])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(subjects, pa.string())], names=[key, "subject"])
+            n = m.counts([sentences(t) for t in batch.column(1).to_pylist()])
+            rows, on = np.nonzero(n >= LEAST_SENTENCES)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), names.take(pa.array(on))], names=[key, "subject"])
 
     return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, subject string")
 

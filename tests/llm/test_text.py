@@ -3,6 +3,8 @@
 import base64
 import random
 
+import numpy as np
+
 from aroeira.llm import mail, subjects
 
 PLAIN = "From: a\nContent-Type: text/plain; charset=utf-8\n\n"
@@ -36,6 +38,14 @@ def test_multipart():
     assert mail.sentences("Content-Type: multipart/mixed; boundary=gone\n\nStill text.") == ["Still text."]
 
 
+def test_any_depth_of_parts():
+    for depth in (1, 9, 40, 400, 3000):
+        inner = "Content-Type: text/plain\n\nDeep inside."
+        for i in range(depth):
+            inner = f"Content-Type: multipart/mixed; boundary=b{i}\n\n--b{i}\n{inner}\n--b{i}--\n"
+        assert mail.sentences("Subject: x\n" + inner) == ["Deep inside."], depth
+
+
 def test_own_text():
     quoted = "> Old one.\n> > Older.\nAB> Old.\n| Old.\n"
     cases = {
@@ -76,10 +86,38 @@ def test_held_out_subjects():
     train, test = corpus(300), corpus(200, 2)
     noisy = [(s, x if i % 15 else {"sport"}) for i, (s, x) in enumerate(train)]
     model = subjects.fit(noisy, sorted(WORDS))
-    right = sum({model.subjects[i] for i, n in enumerate(model.counts(s)) if n >= 3} == x for s, x in test)
+    counts = model.counts([x for x, _ in test])
+    right = sum({model.subjects[i] for i in np.flatnonzero(n >= 3)} == x for n, (_, x) in zip(counts, test))
     assert right >= 190
-    assert model.subjects[model.subject_of("Ask about the verdictt.")] == "law"
-    assert subjects.fit([], ["law"]).counts(["The court."]) == [0]
+    one = model.subject_of(["Ask about the verdictt.", "I will be away on Friday.", ""])
+    assert model.subjects[one[0]] == "law" and list(one[1:]) == [-1, -1]
+    assert subjects.fit([], ["law"]).counts([["The court."], []]).tolist() == [[0], [0]]
+    assert model.counts([]).shape == (0, 4) and model.counts([[], [""]]).sum() == 0
+
+
+def test_factor_rows_follow_from_the_fixed_components():
+    """The shares of a sentence are those of plain multiplicative updates, and batches do not matter."""
+    model = subjects.fit(corpus(300), sorted(WORDS))
+    texts = [s for m, _ in corpus(40, 3) for s in m]
+    alone = [model.subject_of([s])[0] for s in texts]
+    own = np.arange(len(texts))
+    assert model.subject_of(texts, own).tolist() == alone
+    got = model.mixtures(texts, own)
+    k = len(model.subjects)
+    for s, row in list(zip(texts, got))[:40]:
+        found = subjects.terms(s)
+        h = model.h[[model.terms[t] for t in found if t in model.terms]]
+        common = subjects.COMMON_WEIGHT * sum(t not in model.terms for t in found)
+        prior = np.zeros(k + 1)
+        for _ in range(2):
+            w = np.array([subjects.SUBJECT_SHARE / k] * k + [1 - subjects.SUBJECT_SHARE])
+            for _ in range(subjects.APPLY_ROUNDS):
+                part = w * h / np.maximum((w * h).sum(axis=1, keepdims=True), 1e-300)
+                terms_of = part.sum(axis=0)
+                w = terms_of + prior + np.array([0.0] * k + [common])
+                w = w / max(w.sum(), 1e-12)
+            prior[:k] = subjects.MESSAGE_PRIOR * np.log1p((terms_of[:k] >= subjects.LEAST_TERMS).astype(float))
+        assert np.allclose(terms_of[:k], row, atol=1e-6)
 
 
 def test_subject_frames(spark):
