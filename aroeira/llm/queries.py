@@ -33,8 +33,10 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "subject_labels", "doc_id", "subject", "annotator").select("doc_id", F.lower(F.trim("subject")).alias("topic"), "annotator").distinct()
-    return durable(mixing.sized(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text"), labels))
+    """Size and subjects of every message; the subjects are those of p8."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    model = subjects.fitted(documents, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+    return durable(mixing.sized(documents, model))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +50,13 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.mix(_sized(spark, sf_dir), targets), targets)
 
 
+def p7_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and reached share of every language and topic, and what raking left open."""
+    sizes = _sized(spark, sf_dir)
+    mixed, raked = mixing.drawn(sizes, table(spark, sf_dir, "mix_targets"))
+    return mixing.marginals(durable(mixed), sizes, raked)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.subject_areas(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
 
@@ -58,7 +67,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("source", "subject").agg(F.count(F.lit(1)).alias("messages"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p5_found, p5_group_sizes, p6_ids, p7_mix, p7_report, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p5_found, p5_group_sizes, p6_ids, p7_mix, p7_report, p7_marginals, p8_found, p8_composition)}
 
 _REACH = """WITH RECURSIVE m AS (SELECT cohort.rec_id AS a, target.rec_id AS b FROM linkage_matches WHERE cohort.rec_id IS NOT NULL AND target.rec_id IS NOT NULL AND cohort.rec_id <> target.rec_id
   AND (lower(trim(link_type)) = 'deterministic' OR (score >= threshold AND NOT isnan(score) AND NOT isnan(threshold)))),

@@ -290,7 +290,12 @@ def assign(documents: DataFrame, model: SubjectModel, key: str = "doc_id", text:
     return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, subject string")
 
 
+def fitted(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> SubjectModel:
+    """The model of the subjects of ``areas``, from the labelled messages."""
+    names = sorted({r["subject"].strip().lower() for r in areas.where("subject is not null").select("subject").distinct().collect()})
+    return fit(labelled_messages(documents, labels), names)
+
+
 def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     """(doc_id, subject) for the whole corpus: fit on labelled messages, apply to all."""
-    names = sorted({r["subject"].strip().lower() for r in areas.where("subject is not null").select("subject").distinct().collect()})
-    return assign(documents, fit(labelled_messages(documents, labels), names))
+    return assign(documents, fitted(documents, labels, areas))

@@ -181,7 +181,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = B
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
 
-    return _small_batches(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return small_batches(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str = BPE_50K) -> DataFrame:
@@ -195,10 +195,10 @@ def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str =
             tokens = pa.array([bpe.count(t) for t in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], tokens], names=[*keep, "tokens"])
 
-    return _small_batches(slim).mapInArrow(run, schema + ", tokens bigint")
+    return small_batches(slim).mapInArrow(run, schema + ", tokens bigint")
 
 
-def _small_batches(df: DataFrame) -> DataFrame:
+def small_batches(df: DataFrame) -> DataFrame:
     """Arrow batches are cut by bytes as well as rows, so long texts do not pile up."""
     ship(df.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return df

@@ -8,7 +8,7 @@ from datetime import datetime
 import numpy as np
 from pyspark.sql import functions as F
 
-from aroeira.llm import components, entities, mixing
+from aroeira.llm import components, entities, mixing, subjects
 
 T0 = datetime(2024, 1, 1)
 
@@ -60,7 +60,10 @@ def test_fit_meets_sources_and_caps():
     cap = np.array([1.0, 2, 3, 4])
     share = np.array([0.1, 0.2, 0.3, 0.4])
     total = (cap * np.bincount(source, size) / share).min() * 0.8
-    w = mixing.fit(size, source, [lang, topic], share * total, cap)
+    one_hot = lambda x: np.eye(x.max() + 1)[x]
+    raked = mixing.fit(size, source, [one_hot(lang), (one_hot(topic) + one_hot((topic + 1) % 5)) / 2], share * total, cap)
+    w = raked.weights
+    assert 1 < raked.rounds <= mixing.ROUNDS and raked.residual < 0.05
     assert np.allclose(np.bincount(source, w * size), share * total) and (w <= cap[source] + 1e-9).all() and (w > 0).all()
     got, want = np.bincount(lang, w * size) / total, np.bincount(lang, size) / size.sum()
     assert np.abs(got - want).max() < 0.05
@@ -233,7 +236,19 @@ def test_a_person_several_times_in_one_source(spark):
     assert {(r.cohort_id, r.target_id) for r in entities.match_people(c, t).collect()} == {(1, 500), (1, 501), (2, 502)}
 
 
-def test_topic_is_that_of_most_votes(spark):
-    documents = spark.createDataFrame([(1, "a", "pt", "um texto"), (2, "a", "pt", "outro"), (3, "a", "pt", "mais um")], "doc_id long, source string, lang string, text string")
-    votes = spark.createDataFrame([(1, "access"), (1, "supply"), (1, "supply"), (2, "supply"), (2, "access"), (None, "access")], "doc_id long, topic string")
-    assert {r.doc_id: r.topic for r in mixing.sized(documents, votes).collect()} == {1: "supply", 2: "access", 3: None}
+def test_sizes_and_marginals(spark):
+    """Every message gets its tokens and subjects; languages and topics keep their shares, a message of two topics halved."""
+    law, sport = "The judge of the court spoke.", "The coach of the team spoke."
+    text = {"law": f"{law} {law} {law}", "sport": f"{sport} {sport} {sport}", "both": f"{law} {law} {law} {sport} {sport} {sport}", "": "Nothing here."}
+    model = subjects.SubjectModel(["law", "sport"], {"judge": 0, "court": 1, "coach": 2, "team": 3}, np.array([[0.4, 0, 1e-6], [0.4, 0, 1e-6], [0, 0.4, 1e-6], [0, 0.4, 1e-6]]), {"judge", "court", "coach", "team"})
+    rows = [(i, "ab"[i % 5 == 0], ["pt", "en", None][i % 3], text[["law", "sport", "both", ""][i % 7 % 4]]) for i in range(900)] + [(2000, "a", "pt", None), (2001, "a", "pt", ""), (2002, None, "pt", law)]
+    sizes = mixing.sized(spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string").withColumn("topic", F.lit(1)), model)
+    got = {r.doc_id: (r.tokens, r.topic) for r in sizes.collect()}
+    assert len(got) == 903 and got[2000] == got[2001] == (0, None) and got[0][1] == "law" and got[1][1] == "sport" and got[2][1] == "law|sport" and got[3][1] is None
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 4)], "source string, target_share double, max_repeats int")
+    mixed, raked = mixing.drawn(sizes, targets)
+    m = {(r.marginal, r.label): r for r in mixing.marginals(mixed, sizes, raked).collect()}
+    assert set(m) == {("lang", "pt"), ("lang", "en"), ("lang", None), ("topic", "law"), ("topic", "sport"), ("topic", None)}
+    assert all(abs(r.wanted_share - r.reached_share) < 0.02 and r.residual < 0.001 for r in m.values())
+    assert all(abs(sum(r.wanted_share for k, r in m.items() if k[0] == x) - 1) < 1e-5 for x in ("lang", "topic"))
+    assert mixing.marginals(mixed.limit(0), sizes.limit(0), None).count() == 0
