@@ -59,24 +59,55 @@ class ByteBpe:
         self.automaton.make_automaton()
         self.split = regex.compile(PATTERN).findall
         self.pairs: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
         self.pieces = _Pieces(self)
         self.words = _Words(self)
+        self.sizes = _Sizes(self)
 
-    def merged(self, data: bytes) -> list[int]:
-        """Merges by rank, straight from the definition; used on pairs of tokens only."""
+    def merged(self, data: bytes, below: int = 1 << 30) -> list[int]:
+        """Merges of rank less than ``below``, straight from the definition; used on single tokens only."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
             ranked = [(self.rank.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1)]
             r, i = min(ranked)
-            if r == 1 << 30:
+            if r >= below:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.rank[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``token``, None for a single byte; remembered."""
+        if token not in self._halves:
+            parts = self.merged(self.text[token], token) if self.length[token] > 1 else []
+            self._halves[token] = (parts[0], parts[-1]) if len(parts) == 2 else None
+        return self._halves[token]
+
     def compatible(self, a: int, b: int) -> bool:
+        """Whether the bytes of ``a`` and ``b`` together merge to just these two tokens.
+
+        The merges of both are undone from the last to the first; at each point no merge
+        across the border may have had its turn.  Turns go by rank, of equal ranks the left one first.
+        """
+        rank, text = self.rank, self.text
+        left, right, turn = a, b, 1 << 30
+        known = True
+        while True:
+            if rank.get(text[left] + text[right], 1 << 30) < turn:
+                known = False
+                break
+            for side in ("left", "right") if left > right else ("right", "left"):
+                parts = self.halves(left if side == "left" else right)
+                if parts:
+                    break
+            else:
+                break
+            if side == "left":
+                turn, left = left, parts[1]
+            else:
+                turn, right = right + 1, parts[0]
         if len(self.pairs) >= REMEMBERED_PAIRS:
             self.pairs.clear()
-        known = self.pairs[a << 20 | b] = self.merged(self.text[a] + self.text[b]) == [a, b]
+        self.pairs[a << 20 | b] = known
         return known
 
     def cover(self, data: bytes) -> list[int]:
@@ -120,7 +151,7 @@ class ByteBpe:
         return list(chain.from_iterable(map(self.words.__getitem__, WORDS.findall(text))))
 
     def count(self, text: str | None) -> int:
-        return sum(map(len, map(self.words.__getitem__, WORDS.findall(text)))) if text else 0
+        return sum(map(self.sizes.__getitem__, WORDS.findall(text))) if text else 0
 
 
 class _Pieces(dict):
@@ -157,6 +188,22 @@ class _Words(dict):
         return ids
 
 
+class _Sizes(dict):
+    """Numbers of ids of words with the white space before them, remembered while they are short."""
+
+    def __init__(self, bpe: ByteBpe) -> None:
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, word: str) -> int:
+        n = sum(map(len, map(self.bpe.pieces.__getitem__, self.bpe.split(word))))
+        if len(word) <= REMEMBERED_WORD:
+            if len(self) >= REMEMBERED_WORDS:
+                self.clear()
+            self[word] = n
+        return n
+
+
 _LOADED: dict[str, ByteBpe] = {}
 
 

@@ -40,6 +40,15 @@ def test_any_text_and_round_trip(text):
     assert b"".join(BPE.text[i] for i in ids) == text.encode()
 
 
+def test_pairs_are_compatible_where_their_bytes_merge_to_them():
+    rng = random.Random(9)
+    near = [BPE.encode("".join(rng.choice("abehilnorst e") for _ in range(30))) for _ in range(300)]
+    pairs = {(rng.randrange(50_000), rng.randrange(50_000)) for _ in range(4000)} | {p for ids in near for p in zip(ids, ids[1:])} | {(t, t) for t in range(0, 3000, 7)}
+    pairs |= {(rng.randrange(600), rng.randrange(600)) for _ in range(4000)}
+    for a, b in pairs:
+        assert BPE.compatible(a, b) == (BPE.merged(BPE.text[a] + BPE.text[b]) == [a, b]), (a, b)
+
+
 def test_cover_equals_merges():
     rng = random.Random(5)
     for _ in range(500):
