@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,3 +46,41 @@ def persist(index: DataFrame, table_name: str, buckets: int, append: bool = Fals
     It replaces an earlier one unless told to append.
     """
     index.write.mode("append" if append else "overwrite").bucketBy(buckets, "key").sortBy("key").saveAsTable(table_name)
+
+
+class Index(Protocol):
+    """What a linkage needs of an index: the keyed cohort, laid out."""
+
+    def built(self, keyed: DataFrame) -> DataFrame: ...
+
+
+@dataclass
+class ExternalIndex:
+    """The cohort as a table bucketed by block key, kept outside the run; joins on it do not shuffle it.
+
+    It replaces an earlier table of the name, so a second run finds no doubled candidates.
+    """
+
+    table: str
+    buckets: int = 200
+
+    def built(self, keyed: DataFrame) -> DataFrame:
+        keyed.write.mode("overwrite").bucketBy(self.buckets, "block_key").sortBy("block_key").saveAsTable(self.table)
+        return keyed.sparkSession.table(self.table)
+
+    def drop(self, spark) -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+@dataclass
+class ChunkedIndex:
+    """A sorted index that tells of every full chunk of ``chunk_size`` records: (number of the chunk, records so far)."""
+
+    chunk_size: int = 1000
+    on_chunk: Callable[[int, int], None] | None = None
+
+    def built(self, keyed: DataFrame) -> DataFrame:
+        if self.on_chunk is not None:
+            for i in range(1, full_chunks(keyed.count(), self.chunk_size) + 1):
+                self.on_chunk(i, i * self.chunk_size)
+        return keyed.hint("merge")

@@ -2,9 +2,10 @@
 
 Both sides carry their whole row as a struct; the join is one inner join on the
 block key with the match condition inside it, so losing candidates are never written.
-Deterministic equalities become further hash keys, which splits large blocks.  For
-scored steps over blocks that are still hot, ``salt`` replicates the cohort and cuts
-each block of the target.
+Deterministic equalities become further hash keys, which splits large blocks.  A scored
+step counts the candidate pairs of its blocks first; a block with more than a task's
+share is cut into shards in proportion: the larger side is divided, the smaller one
+replicated to the shards.
 
 Matches form a bag: every pair of every step that holds, without best-match choice.
 All steps probe the keys the *first* step defines for the cohort, unless
@@ -21,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..session import parallelism
+from . import index as indexes
 
 Parser = Callable[[DataFrame], DataFrame]
 #: How an index is laid out, as a join hint: let Spark choose, sort and merge, or build hashes.
-INDEXES = {"memory": None, "sort-merge": "merge", "hash": "shuffle_hash", "external": None}
+INDEXES = {"memory": None, "sort-merge": "merge", "hash": "shuffle_hash"}
 
 
 @dataclass(frozen=True)
@@ -82,15 +85,40 @@ def _decision(cohort: DataFrame, target: DataFrame, step: LinkageConfig) -> tupl
     return F.lit(False), none
 
 
-def link_step(cohort: DataFrame, target: DataFrame, step: LinkageConfig, cohort_fields: list[str], hint: str | None = None, salt: int = 1) -> DataFrame:
-    """(cohort, target, score) of one step."""
+def hot_blocks(cohort_keys: DataFrame, target_keys: DataFrame, tasks: int) -> list[tuple[str, int, bool]]:
+    """(block key, shards, whether the target is divided) of blocks with more than a task's share of all candidate pairs.
+
+    Only block keys are read; fewer than ``tasks`` blocks can be hot, so the list is short.
+    """
+    n = lambda df, name: df.groupBy("block_key").agg(F.count(F.lit(1)).alias(name))
+    loads = n(cohort_keys, "nc").join(n(target_keys, "nt"), "block_key").withColumn("pairs", F.col("nc").cast("double") * F.col("nt"))
+    whole = loads.agg(F.sum("pairs").alias("whole"))
+    hot = loads.crossJoin(F.broadcast(whole)).where(F.col("pairs") * tasks > F.col("whole")).collect()
+    return sorted((r["block_key"], min(int(-(-r["pairs"] * 2 * tasks // r["whole"])), max(r["nc"], r["nt"])), r["nt"] >= r["nc"]) for r in hot)
+
+
+def _sharded(df: DataFrame, side: str, blocks: list[tuple[str, int, bool]]) -> DataFrame:
+    """``df`` with ``shard``: rows of a hot block's divided side in one, of its other side in all of the block's shards."""
+    if not blocks:
+        return df.withColumn("shard", F.lit(0))
+    plan = F.broadcast(df.sparkSession.createDataFrame([(k, n, divided == (side == "target")) for k, n, divided in blocks], "hot_key string, shards int, divided boolean"))
+    one = F.array(F.pmod(F.xxhash64(side), F.coalesce("shards", F.lit(1))).cast("int"))
+    shard = F.when(F.col("shards").isNull(), F.array(F.lit(0))).when(F.col("divided"), one).otherwise(F.sequence(F.lit(0), F.col("shards") - 1))
+    return df.join(plan, df["block_key"] == plan["hot_key"], "left").withColumn("shard", F.explode(shard)).select("block_key", side, "shard")
+
+
+def link_step(cohort: DataFrame, target: DataFrame, step: LinkageConfig, cohort_fields: list[str], hint: str | None = None, tasks: int | None = None, index: object = None) -> DataFrame:
+    """(cohort, target, score) of one step; ``tasks``: into how many tasks a scored step is to spread."""
     matches, score = _decision(cohort, target, step)
     c, t = _keyed(cohort, cohort_fields, "cohort"), _keyed(target, list(step.block.values()), "target")
+    if index is not None:
+        c = index.built(c)
     on = F.col("block_key") == F.col("t_key")
-    if salt > 1:
-        c = c.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        t = t.withColumn("t_salt", F.pmod(F.xxhash64("target"), F.lit(salt)).cast("int"))
-        on = on & (F.col("salt") == F.col("t_salt"))
+    if step.type == "probabilistic" or not step.on:
+        blocks = hot_blocks(c.select("block_key"), t.select("block_key"), tasks or parallelism(cohort.sparkSession))
+        if blocks:
+            c, t = _sharded(c, "cohort", blocks), _sharded(t, "target", blocks).withColumnRenamed("shard", "t_shard")
+            on = on & (F.col("shard") == F.col("t_shard"))
     t = t.withColumnRenamed("block_key", "t_key")
     joined = (c.hint(hint) if hint else c).join(t, on & matches, "inner")
     return joined.select("cohort", "target", score.alias("score"))
@@ -99,8 +127,10 @@ def link_step(cohort: DataFrame, target: DataFrame, step: LinkageConfig, cohort_
 class LinkageStrategy:
     """``LinkageStrategy(name).cohort(rows, cfg).link(rows, cfg)….exec()`` gives the matches."""
 
-    def __init__(self, name: str, index: str = "memory", reindex_per_step: bool = False, salt: int = 1) -> None:
-        self.name, self.hint, self.reindex_per_step, self.salt = name, INDEXES[index], reindex_per_step, salt
+    def __init__(self, name: str, index: str | indexes.Index = "memory", reindex_per_step: bool = False, tasks: int | None = None, repository: object = None) -> None:
+        """``index``: a layout of ``INDEXES`` or an index object; ``repository``: takes the matches with ``save``."""
+        self.name, self.reindex_per_step, self.tasks, self.repository = name, reindex_per_step, tasks, repository
+        self.hint, self.index = (INDEXES[index], None) if isinstance(index, str) else (None, index)
         self._cohort: tuple[object, CohortConfig] | None = None
         self._links: list[tuple[object, LinkageConfig]] = []
 
@@ -126,10 +156,13 @@ class LinkageStrategy:
         parts = []
         for target_service, step in self._links:
             fields = list(step.block) if self.reindex_per_step else first
-            m = link_step(cohort, _rows(target_service, step.subset), step, fields, self.hint, self.salt)
+            m = link_step(cohort, _rows(target_service, step.subset), step, fields, self.hint, self.tasks, self.index)
             described = F.struct(F.lit(step.name).alias("name"), F.lit(step.type).alias("type"), F.lit(step.score_strategy).cast("string").alias("score_strategy"), F.lit(step.threshold).cast("double").alias("threshold"))
             parts.append(m.withColumn("step", described).withColumn("matched_at", F.current_timestamp()))
         if len({p.schema["target"].dataType.json() for p in parts}) > 1:
             # targets of different shape meet as JSON documents
             parts = [p.withColumn("target", F.to_json("target")) for p in parts]
-        return reduce(lambda a, b: a.unionByName(b), parts)
+        found = reduce(lambda a, b: a.unionByName(b), parts)
+        if self.repository is not None:
+            self.repository.save(found)
+        return found

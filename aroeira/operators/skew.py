@@ -141,6 +141,9 @@ def dominant(df: DataFrame, columns: Sequence[str], record: str, least_share: st
 def skew_join(left: DataFrame, right: DataFrame, key: str, record: str, tasks: int | None = None) -> DataFrame:
     """Inner join on a string ``key`` without a hot task: left sharded, right replicated to shards.
 
+    Both sides move once, to the tasks of the plan, and are merged there: the strategy is
+    fixed, as a broadcast chosen at run time would gather the sharded side again.
+
     Null keys never join.  Clashing names of other columns come out as ``right_<name>``.
     """
     tasks = tasks or parallelism(left.sparkSession)
@@ -150,4 +153,4 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, record: str, tasks: i
     plan = plan_shards(l.select("__g", key), "__g", key, tasks)
     a = to_tasks(l, plan, "__g", key, F.col(record))
     b = to_tasks(r, plan, "__g", key, F.lit(0), replicate=True)
-    return a.join(b, ["task", "shard", "__g", key]).drop("task", "shard", "__g")
+    return a.hint("merge").join(b, ["task", "shard", "__g", key]).drop("task", "shard", "__g")

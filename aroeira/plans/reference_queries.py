@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+import warnings
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parsing
-from ..functions.criteria import ArrayCriteria, CriteriaSet, StringCriteria
-from ..operators import index, indicators
+from ..functions import formats, parsing
+from ..functions.criteria import ArrayCriteria, CriteriaSet, CustomCriteria, StringCriteria
+from ..operators import index, indicators, matches
 from ..operators.linkage import CohortConfig, LinkageConfig, LinkageStrategy
-from ..session import table
-from ..sources import catalog
+from ..session import new_folder, table
+from ..sources import catalog, dbc, dbf
+from ..sources.datasource import files_of, register
+from ..sources.ftp import FolderClient, Gateway
 from ..sources.naming import CountryYear, StatePeriod, StateYear
 from ..sources.systems import states
 from . import pipeline
@@ -64,10 +70,10 @@ def filter_and(spark, d):
     return CriteriaSet.set([StringCriteria("F", "sexo"), ArrayCriteria(["01", "07"], "cges")]).filter(_records(spark, d))
 
 
-@query(f"{_R} WHERE sexo IN ('F', 'M', 'I') AND tpfin = '060000'")
+@query(f"{_R} WHERE sexo IN ('F', 'M', 'I') AND tpfin IN ('050038', '060039')")
 def filter_merge_or(spark, d):
     """Criteria on one column merge into the union of their values."""
-    c = [StringCriteria("F", "sexo"), ArrayCriteria(["M", "F"], "sexo"), StringCriteria("060000", "tpfin"), StringCriteria("I", "sexo")]
+    c = [StringCriteria("F", "sexo"), ArrayCriteria(["M", "F"], "sexo"), StringCriteria("050038", "tpfin"), StringCriteria("I", "sexo"), StringCriteria("060039", "tpfin")]
     return CriteriaSet.set(c).filter(_records(spark, d))
 
 
@@ -151,7 +157,19 @@ _SUMMARY = "SELECT file, count(*) AS total, count(*) FILTER (sexo = 'F') AS foun
 @query(_SUMMARY)
 def job_summary(spark, d):
     """Per file: records, records that pass, errors."""
-    return pipeline.file_summary(table(spark, d, "sia_records", "file", "sexo"), CriteriaSet.set([StringCriteria("F", "sexo")])).drop("filters")
+    return _summaries(spark, d).drop("filters")
+
+
+def _summaries(spark, d):
+    return pipeline.file_summary(table(spark, d, "sia_records", "file", "sexo"), CriteriaSet.set([StringCriteria("F", "sexo")]))
+
+
+@query("SELECT file, total, founds, unnest(['string', 'array']) AS type, unnest(['sexo', 'cges']) AS prop, unnest(['F', '01,07']) AS value FROM (SELECT file, count(*) AS total, count(*) FILTER (sexo = 'F' AND cges IN ('01', '07')) AS founds FROM sia_records GROUP BY file)")
+def job_summary_filters(spark, d):
+    """The criteria of a run stand in its summaries as structs: one line per file and criterion."""
+    criteria = CriteriaSet.set([StringCriteria("F", "sexo"), ArrayCriteria(["01", "07"], "cges")])
+    s = pipeline.file_summary(table(spark, d, "sia_records", "file", "sexo", "cges"), criteria)
+    return s.select("file", "total", "founds", F.inline("filters")).withColumn("value", F.array_join("value", ","))
 
 
 @query(f"SELECT count(*) AS files, CAST(sum(total) AS BIGINT) AS total, CAST(sum(founds) AS BIGINT) AS founds, CAST(sum(errors) AS BIGINT) AS errors FROM ({_SUMMARY})")
@@ -185,10 +203,10 @@ def catalog_state_period(spark, d):
     return catalog.select(_catalogue(spark, d), StatePeriod().prefixes(_SUBSET)).select("file", "name", "pos", "prefix_no")
 
 
-@query(f"SELECT file, name, pos FROM {_CATALOGUE} WHERE starts_with(name, 'AMSP') OR starts_with(name, 'AMBA')")
+@query(f"SELECT file, name, pos FROM {_CATALOGUE} WHERE starts_with(name, 'AMAM') OR starts_with(name, 'AMBA')")
 def catalog_state(spark, d):
     """Without a period all months of the states are meant."""
-    return catalog.select(_catalogue(spark, d), StatePeriod().prefixes({"src": "AM", "states": ["SP", "BA"]})).select("file", "name", "pos")
+    return catalog.select(_catalogue(spark, d), StatePeriod().prefixes({"src": "AM", "states": ["AM", "BA"]})).select("file", "name", "pos")
 
 
 @query(f"SELECT count(*) AS n FROM {_CATALOGUE} WHERE starts_with(name, 'BI')")
@@ -211,10 +229,185 @@ def catalog_chunks(spark, d):
     return catalog.numbered_chunks(_catalogue(spark, d), 3).select("name", "file", "chunk")
 
 
-@query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 40")
+_AM_YEARS = ("AMAM2301", "AMAM2302", "AMBA2301", "AMBA2302")
+
+
+@query(f"SELECT file, name, n AS prefix_no FROM {_CATALOGUE} JOIN (VALUES {', '.join(f'({chr(39)}{p}{chr(39)}, {i})' for i, p in enumerate(_AM_YEARS))}) v(p, n) ON starts_with(name, p)")
+def catalog_state_year(spark, d):
+    """States outermost, then years of four digits (which pick months of these names)."""
+    chosen = StateYear().prefixes({"src": "AM", "states": ["AM", "BA"], "year": [2301, 2302]})
+    return catalog.select(_catalogue(spark, d), chosen).select("file", "name", "prefix_no")
+
+
+@query(f"SELECT file, name, n AS prefix_no FROM (SELECT file, substr(name, 1, 2) || 'BR' || substr(name, 5) AS name FROM {_CATALOGUE}) JOIN (VALUES ('BIBR22', 0), ('BIBR23', 1)) v(p, n) ON starts_with(name, p)")
+def catalog_country_year(spark, d):
+    """Years of two digits over the same files under nationwide names."""
+    nationwide = _catalogue(spark, d).withColumn("name", F.concat(F.substring("name", 1, 2), F.lit("BR"), F.substring("name", 5, 100)))
+    return catalog.select(nationwide, CountryYear().prefixes({"src": "BI", "year": [2022, 2023]})).select("file", "name", "prefix_no")
+
+
+# Files: a test table is written as DBC and read back
+
+
+def _as_dbc(df: DataFrame, name: str, files: int | None = None) -> str:
+    """The folder that holds ``df`` as DBC files."""
+    register(df.sparkSession)
+    folder = new_folder(df.sparkSession, f"dbc-{name}")
+    (df.coalesce(files) if files else df).write.format("dbc").mode("append").save(folder)
+    return folder
+
+
+def _dbc(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    register(spark)
+    return spark.read.format("dbc").options(**options).load(folder)
+
+
+def _order_files(spark: SparkSession, d: str):
+    """A remote folder with one file of orders per status, and a client to it."""
+    remote = new_folder(spark, "remote").removeprefix("file://")
+    Path(remote).mkdir(parents=True)
+    for state, status in (("SP", "O"), ("RJ", "F"), ("MG", "P")):
+        folder = _as_dbc(table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus").toDF("ORDERKEY", "CUSTKEY", "STATUS").where(F.col("STATUS") == status), state, 1).removeprefix("file://")
+        next(Path(folder).glob("*.dbc")).rename(f"{remote}/DO{state}2021.dbc")
+    return FolderClient(remote), remote
+
+
+@query("SELECT p_partkey AS PARTKEY, p_name AS NAME, p_brand AS BRAND, p_type AS TYPE, p_size AS SIZE, p_retailprice AS PRICE FROM part")
+def dbc_scan(spark, d):
+    """Every record of every file, through the sink and back."""
+    return _dbc(spark, _as_dbc(_part_fields(spark, d), "part"))
+
+
+def _part_fields(spark, d):
+    return table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice").toDF("PARTKEY", "NAME", "BRAND", "TYPE", "SIZE", "PRICE")
+
+
+@query("SELECT p_partkey AS PARTKEY, p_size AS SIZE FROM part")
+def dbc_columns(spark, d):
+    """Only the named columns are decoded."""
+    return _dbc(spark, _as_dbc(_part_fields(spark, d), "part"), columns="PARTKEY,SIZE")
+
+
+@query("SELECT p_partkey AS PARTKEY FROM part WHERE p_type = 'STANDARD' OR p_type IN ('PROMO', 'SMALL')")
+def dbc_criteria(spark, d):
+    """Criteria are applied while decoding, on fields that need not be selected."""
+    criteria = CriteriaSet.set([ArrayCriteria(["STANDARD", "PROMO"], "TYPE"), StringCriteria("SMALL", "TYPE")])
+    return _dbc(spark, _as_dbc(_part_fields(spark, d), "part"), columns="PARTKEY", criteria=json.dumps(criteria.to_dict()))
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS o_orderdate, o_totalprice > 100000 AS dear FROM orders")
+def dbc_types(spark, d):
+    """Whole numbers, dates and logical values come back as they went."""
+    o = table(spark, d, "orders", "o_orderkey", "o_orderdate", "o_totalprice").select(F.col("o_orderkey").alias("KEY"), F.col("o_orderdate").cast("date").alias("DAY"), (F.col("o_totalprice") > 100000).alias("DEAR"))
+    return _dbc(spark, _as_dbc(o, "orders")).toDF("o_orderkey", "o_orderdate", "dear")
+
+
+@query("SELECT name, type, size, (SELECT count(*) FROM customer) AS records FROM (VALUES ('CUSTKEY', 'N', 18), ('NAME', 'C', 40), ('NATION', 'N', 9), ('BALANCE', 'B', 8)) v(name, type, size)")
+def dbc_metadata(spark, d):
+    """Fields and number of records from a file's header."""
+    c = table(spark, d, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal").toDF("CUSTKEY", "NAME", "NATION", "BALANCE")
+    register(spark)
+    folder = new_folder(spark, "dbc-customer")
+    c.coalesce(1).write.format("dbc").option("sizes", "NAME:40").mode("append").save(folder)
+    r = dbc.DbcReader(files_of(folder)[0])
+    return spark.createDataFrame([(f.name, f.type, f.size, r.size) for f in r.fields], "name string, type string, size int, records bigint")
+
+
+@query("SELECT r_regionkey AS REGIONKEY, r_name AS NAME, CAST(r_regionkey // 2 AS INTEGER) AS batch FROM region")
 def read_batch(spark, d):
-    """The first records in file order, as a reader's first batch."""
-    return table(spark, d, "part", "p_partkey", "p_name").orderBy("p_partkey").limit(40)
+    """A reader's batches of two records, to the end of the file."""
+    folder = _as_dbc(table(spark, d, "region", "r_regionkey", "r_name").toDF("REGIONKEY", "NAME").orderBy("REGIONKEY"), "region", 1)
+    reader, rows = dbc.DbcReader(files_of(folder)[0]), []
+    while batch := reader.read_batch(2):
+        rows.append(batch)
+    return spark.createDataFrame([(r["REGIONKEY"], r["NAME"], i) for i, b in enumerate(rows) for r in b], "REGIONKEY int, NAME string, batch int")
+
+
+@query("SELECT n_nationkey AS KEY, n_name AS NAME FROM nation")
+def dbc_writer(spark, d):
+    """A writer given single records and lists of records; its errors carry what they could not write."""
+    path = new_folder(spark, "dbc-nation").removeprefix("file://") + ".dbc"
+    rows = [r.asDict() for r in table(spark, d, "nation").select(F.col("n_nationkey").alias("KEY"), F.col("n_name").alias("NAME")).collect()]
+    w = dbc.DbcWriter(path, [dbf.Field("KEY", "N", 9), dbf.Field("NAME", "C", 25)])
+    w.write(rows[0])
+    w.write(rows[1:])
+    w.close()
+    return _dbc(spark, path)
+
+
+@query("SELECT o_orderkey AS ORDERKEY, o_orderstatus AS STATUS FROM orders WHERE o_orderstatus IN ('O', 'F')")
+def run_files(spark, d):
+    """A run: list and select a remote folder, land the files, scan, filter, parse."""
+    o, _ = _run(spark, d, ["SP", "RJ", "SP", "XX"])
+    return o.exec(parsing.rename({"ORDERKEY": "ORDERKEY", "STATUS": "STATUS"}))
+
+
+def _run(spark, d, states_, **options):
+    client, remote = _order_files(spark, d)
+    config = pipeline.RunConfig(data_path=new_folder(spark, "landed").removeprefix("file://"), filters=CriteriaSet.set([ArrayCriteria(["F", "O"], "STATUS")]), **options)
+    Path(config.data_path).mkdir(parents=True)
+    return pipeline.Orchestrator(spark, Gateway(client, remote + "/", StateYear()), config).subset({"src": "DO", "states": states_, "year": [2021]}), remote
+
+
+@query("""SELECT 'DO' || CASE o_orderstatus WHEN 'O' THEN 'SP' WHEN 'F' THEN 'RJ' ELSE 'MG' END || '2021.dbc' AS file, count(*) AS total, count(*) FILTER (o_orderstatus <> 'P') AS founds, CAST(0 AS BIGINT) AS errors,
+  'array' AS type, 'STATUS' AS prop, 'F,O' AS value FROM orders GROUP BY o_orderstatus""")
+def run_summary(spark, d):
+    """Summaries of a run, appended to a folder and read back."""
+    o, _ = _run(spark, d, ["SP", "RJ", "MG"])
+    folder = new_folder(spark, "summary")
+    o.write_summary(folder)
+    s = spark.read.schema(f"file string, total bigint, founds bigint, errors bigint, filters {pipeline.FILTERS}").json(folder)
+    return s.select("file", "total", "founds", "errors", F.inline("filters")).withColumn("value", F.array_join("value", ","))
+
+
+@query("""SELECT 2 AS done, 'DORJ2021.dbc' AS failed, count(*) AS records FROM orders WHERE o_orderstatus = 'O'""")
+def run_with_failure(spark, d):
+    """A chunk whose file is broken is handed over with its files; the other chunks go through."""
+    o, remote = _run(spark, d, ["SP", "RJ", "MG"], concurrency=1)
+    Path(f"{remote}/DORJ2021.dbc").write_bytes(b"broken")
+    sink, failed = new_folder(spark, "run"), []
+    done = o.run(lambda df: df.write.mode("append").parquet(sink), on_error=lambda e, chunk: failed.extend(chunk))
+    return spark.read.parquet(sink).agg(F.count(F.lit(1)).alias("records")).select(F.lit(done).alias("done"), F.lit(",".join(failed)).alias("failed"), "records")
+
+
+@query("SELECT c_custkey AS c, o_orderkey AS t FROM customer JOIN orders ON c_custkey = o_custkey")
+def link_dbc_provider(spark, d):
+    """Files of records as the cohort of a linkage; the subset a file cannot have is passed over with a warning."""
+    folder = _as_dbc(table(spark, d, "customer", "c_custkey", "c_name").toDF("CUSTKEY", "NAME"), "customer")
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        m = LinkageStrategy("files").cohort(pipeline.DbcProvider(spark, folder), CohortConfig("c", {"src": "PA"})).link(_orders(spark, d), _det("s", {"CUSTKEY": "o_custkey"})).exec()
+    assert any("no subsets" in str(w.message) for w in said)
+    return m.select(F.col("cohort.CUSTKEY").alias("c"), F.col("target.o_orderkey").alias("t"))
+
+
+@query("SELECT * FROM (VALUES (0, 'array', 'sexo', 'F,M', false), (1, 'string', 'cges', '01', false)) v(no, type, prop, value, set_is_empty)")
+def criteria_values(spark, d):
+    """The criteria of a set, one by one, and whether the set is empty."""
+    c = CriteriaSet.set([StringCriteria("F", "sexo"), StringCriteria("01", "cges"), StringCriteria("M", "sexo"), StringCriteria("F", "sexo")])
+    assert CriteriaSet().is_empty() and not CriteriaSet().values()
+    rows = [(i, x["type"], x["prop"], ",".join(x["value"]) if x["type"] == "array" else x["value"], c.is_empty()) for i, x in enumerate(v.to_dict() for v in c.values())]
+    return spark.createDataFrame(rows, "no int, type string, prop string, value string, set_is_empty boolean")
+
+
+@query(f"{_R} WHERE qt_aprov > 2 AND sexo = 'F'")
+def filter_custom(spark, d):
+    """A predicate of the caller's own beside a plain criterion."""
+    return CriteriaSet.set([CustomCriteria(lambda df: F.col("qt_aprov") > 2), StringCriteria("F", "sexo")]).filter(_records(spark, d))
+
+
+@query("SELECT total, processed, CAST(processed * 100 // total AS INTEGER) AS progress FROM (SELECT (SELECT count(*) FROM part) AS total, CAST(unnest(range(1, (SELECT count(*) + 1 FROM part))) AS BIGINT) AS processed) QUALIFY row_number() OVER (PARTITION BY progress ORDER BY processed) = 1")
+def run_progress(spark, d):
+    """The whole per cents a run over the parts reports, each at the record it changes with."""
+    n = table(spark, d, "part").count()
+    rows, before = [], None
+    for i in range(1, n + 1):
+        p = formats.progress(i, n)
+        if p != before:
+            rows.append((n, i, p))
+        before = p
+    assert [p for *_, p in rows] == [p for p in formats.progress_events(n) if p or rows[0][2] == 0]
+    return spark.createDataFrame(rows, "total bigint, processed bigint, progress int")
 
 
 @query("SELECT DISTINCT s.uf AS uf, s.code AS code FROM (VALUES ('SP', '35'), ('RJ', '33'), ('MG', '31'), ('BA', '29'), ('DF', '53'), ('AC', '12'), ('AL', '27'), ('AM', '13'), ('AP', '16'), ('CE', '23'), ('ES', '32'), ('GO', '52'), ('MA', '21'), ('MS', '50'), ('MT', '51'), ('PA', '15'), ('PB', '25'), ('PE', '26'), ('PI', '22'), ('PR', '41'), ('RN', '24'), ('RO', '11'), ('RR', '14'), ('RS', '43'), ('SC', '42'), ('SE', '28'), ('TO', '17')) s(uf, code) JOIN sia_records r ON substr(r.ufmun, 1, 2) = s.code")
@@ -232,9 +425,9 @@ def index_build(spark, d):
     return index.entries(index.build(table(spark, d, "part", "p_partkey", "p_brand", "p_size"), ["p_brand", "p_size"]))
 
 
-@query("SELECT CAST(l.k AS VARCHAR) AS key, c_name FROM customer JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') l ON c_custkey = l.k")
+@query("SELECT CAST(l.k AS VARCHAR) AS key, c_name FROM customer JOIN (SELECT DISTINCT o_custkey AS k FROM orders) l ON c_custkey = l.k")
 def index_get(spark, d):
-    asked = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("key"))
+    asked = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("key"))
     return index.get(index.build(table(spark, d, "customer", "c_custkey", "c_name"), ["c_custkey"]), asked).select("key", "value.c_name")
 
 
@@ -270,9 +463,9 @@ def _orders(spark, d):
     return table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
 
 
-@query("SELECT c_custkey AS c, o_orderkey AS t FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'F'")
+@query("SELECT c_custkey AS c, o_orderkey AS t FROM customer JOIN orders ON c_custkey = o_custkey")
 def link_deterministic(spark, d):
-    m = _link(_customers(spark, d), (_orders(spark, d).where("o_orderstatus = 'F'"), _det("s", {"c_custkey": "o_custkey"}, {"c_custkey": "o_custkey"})))
+    m = _link(_customers(spark, d), (_orders(spark, d), _det("s", {"c_custkey": "o_custkey"}, {"c_custkey": "o_custkey"})))
     return m.select(F.col("cohort.c_custkey").alias("c"), F.col("target.o_orderkey").alias("t"))
 
 
@@ -342,9 +535,9 @@ def link_fs_mu(spark, d):
 
 
 @query(_PAIRS.format(score=_FS, where=f"{_FS} >= 2"))
-def link_fs_salted(spark, d):
-    """Blocks cut by salt give the same pairs."""
-    return _self_link(spark, d, _prob("fellegi-sunter", _ON, _BRAND, _MU, 2), salt=4)
+def link_fs_sharded(spark, d):
+    """For 64 tasks every block is hot; cut into shards by load they give the same pairs."""
+    return _self_link(spark, d, _prob("fellegi-sunter", _ON, _BRAND, _MU, 2), tasks=64)
 
 
 _EXPLICIT = f"({_case(_TYPE, 10.0, -8.0)} + {_case(_SIZE, 5.0, -3.0)})"
@@ -417,11 +610,11 @@ def link_blank_key(spark, d):
     return m.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_brand || '_x' AS x, p_type AS y FROM part WHERE p_size < 10), q AS (SELECT p_partkey, p_brand AS x, 'x_' || p_type AS y FROM part WHERE p_size < 10)
+@query("""WITH p AS (SELECT p_partkey, p_brand || '_x' AS x, p_type AS y FROM part), q AS (SELECT p_partkey, p_brand AS x, 'x_' || p_type AS y FROM part)
   SELECT count(*) AS n FROM p JOIN q ON p.x || '_' || p.y = q.x || '_' || q.y""")
 def link_key_collision(spark, d):
     """(a_x, b) and (a, x_b) share a block; with nothing compared every candidate matches."""
-    p = _parts(spark, d).where("p_size < 10")
+    p = _parts(spark, d)
     left = p.select("p_partkey", F.concat("p_brand", F.lit("_x")).alias("x"), F.col("p_type").alias("y"))
     right = p.select("p_partkey", F.col("p_brand").alias("x"), F.concat(F.lit("x_"), "p_type").alias("y"))
     return _link(left, (right, _det("s", {}, {"x": "x", "y": "y"}))).agg(F.count(F.lit(1)).alias("n"))
@@ -468,6 +661,55 @@ def link_people(spark, d):
     return m.where("cohort.sexo is not null").select("cohort.cohort_id", "target.target_id")
 
 
+@query("SELECT c_custkey AS c, o_orderkey AS t FROM customer JOIN orders ON c_custkey = o_custkey")
+def link_external_index(spark, d):
+    """The cohort as a bucketed table outside the run."""
+    m = _link(_customers(spark, d), (_orders(spark, d), _det("s", {"c_custkey": "o_custkey"})), index=index.ExternalIndex(f"cohort_{uuid.uuid4().hex}", 8))
+    return m.select(F.col("cohort.c_custkey").alias("c"), F.col("target.o_orderkey").alias("t"))
+
+
+@query("SELECT CAST(count(*) // 25 AS INTEGER) AS chunks, (SELECT count(*) FROM customer JOIN orders ON c_custkey = o_custkey) AS matches FROM customer")
+def link_chunked_index(spark, d):
+    """A sorted index that tells of every full chunk of 25 records."""
+    told = []
+    m = _link(_customers(spark, d), (_orders(spark, d), _det("s", {"c_custkey": "o_custkey"})), index=index.ChunkedIndex(25, lambda i, n: told.append(i)))
+    return m.agg(F.count(F.lit(1)).alias("matches")).select(F.lit(len(told)).alias("chunks"), "matches")
+
+
+@query("SELECT c_custkey AS c, o_orderkey AS t FROM customer JOIN orders ON c_custkey = o_custkey")
+def match_repository(spark, d):
+    """Matches saved to a repository, cleared, saved again and read back."""
+    kept, stored = matches.MatchRepository(), matches.StoredMatchRepository(spark, new_folder(spark, "matches"))
+    m = _link(_customers(spark, d), (_orders(spark, d), _det("s", {"c_custkey": "o_custkey"})), repository=kept)
+    kept.clear()
+    assert kept.all() is None
+    kept.save(m)
+    stored.save(kept.all())
+    stored.clear()
+    stored.save(kept.all())
+    return stored.all().select(F.get_json_object("cohort", "$.c_custkey").cast("bigint").alias("c"), F.get_json_object("target", "$.o_orderkey").cast("bigint").alias("t"))
+
+
+class _Segments:
+    """A linkage service with subsets: customers of one segment."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
+
+    def subset(self, subset: dict) -> None:
+        self.rows = self.rows.where(F.col("c_mktsegment") == subset["segment"])
+
+    def exec(self) -> DataFrame:
+        return self.rows
+
+
+@query("SELECT c_custkey AS c, o_orderkey AS t FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
+def link_subset(spark, d):
+    """The subset of the cohort's configuration reaches a service that has subsets."""
+    m = LinkageStrategy("s").cohort(_Segments(_customers(spark, d)), CohortConfig("c", {"segment": "BUILDING"})).link(_orders(spark, d), _det("s", {"c_custkey": "o_custkey"})).exec()
+    return m.select(F.col("cohort.c_custkey").alias("c"), F.col("target.o_orderkey").alias("t"))
+
+
 # Indicators
 
 

@@ -1,7 +1,7 @@
 """``spark.read.format("dbc")`` and ``df.write.format("dbc")``.
 
 One task per file.  Options: ``path`` (a file, a folder, a pattern, or several with
-commas, on storage all executors see), ``encoding``, ``columns`` (names with commas:
+commas, as paths or URIs of storage all executors see: local, HDFS, object stores), ``encoding``, ``columns`` (names with commas:
 only these are decoded), ``file_column`` (name of an added column with the file's name),
 ``criteria`` (equality and membership criteria as JSON, applied while decoding, the
 text fields they name need not be selected).  Filters of a query are left to Spark: a
@@ -10,14 +10,17 @@ reader that takes them keeps them for later queries on the same DataFrame.
 
 from __future__ import annotations
 
+import fnmatch
 import glob
 import json
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -27,10 +30,18 @@ from . import dbc, dbf
 
 
 def files_of(path: str) -> list[str]:
+    """The files a path option names; a folder gives its DBC and DBF files, a pattern those of its folder that fit."""
     out: list[str] = []
-    for p in path.split(","):
-        p = p.strip().removeprefix("file://")
-        out += sorted(glob.glob(os.path.join(p, "*.[dD][bB][cCfF]"))) if os.path.isdir(p) else sorted(glob.glob(p)) or [p]
+    for p in (x.strip() for x in path.split(",")):
+        system, inner = dbc.located(p)
+        scheme = p[: len(p) - len(inner)] if "://" in p and p.endswith(inner) else ""
+        info = system.get_file_info(inner)
+        folder, pattern = (inner, "*.[dD][bB][cCfF]") if info.type == fs.FileType.Directory else os.path.split(inner)
+        if info.type == fs.FileType.File or not any(c in pattern for c in "*?["):
+            out.append(p)
+            continue
+        found = system.get_file_info(fs.FileSelector(folder or ".", allow_not_found=True))
+        out += sorted(scheme + f.path for f in found if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, pattern))
     return list(dict.fromkeys(out))
 
 
@@ -49,9 +60,9 @@ class DbcDataSource(DataSource):
         if not files:
             raise ValueError("no file to take the schema from")
         fields = {}
-        for p in files:
-            with open(p, "rb") as f:
-                for s in dbf.read_header(f.read(65536)).schema:
+        with ThreadPoolExecutor(16) as pool:  # only headers are read, many at a time
+            for header in pool.map(lambda p: dbf.read_header(dbc.read_bytes(p, 65536)), files):
+                for s in header.schema:
                     fields.setdefault(s.name, s)
         wanted = [c for c in self.options.get("columns", "").split(",") if c]
         chosen = [fields[c] for c in wanted] if wanted else list(fields.values())

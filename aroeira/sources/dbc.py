@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
+from pyarrow import fs
 
 from . import dbf
 from .implode import explode, implode
@@ -31,6 +32,17 @@ class FlushError(RuntimeError):
         self.records = records
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local, HDFS, object stores) and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def read_bytes(path: str, count: int | None = None) -> bytes:
+    system, inner = located(path)
+    with system.open_input_stream(inner) as f:
+        return f.read(count) if count else f.read()
+
+
 def to_dbf(data: bytes) -> bytes:
     """The DBF file inside a DBC file; DBF bytes pass through."""
     h = dbf.read_header(data)
@@ -51,7 +63,7 @@ class DbcReader:
 
     def __init__(self, path: str, encoding: str = "latin-1") -> None:
         self.path, self.encoding = path, encoding
-        self._data = to_dbf(Path(path).read_bytes())
+        self._data = to_dbf(read_bytes(path))
         self._header = dbf.read_header(self._data)
         self._rows: Iterator[dict] | None = None
 

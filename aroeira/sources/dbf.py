@@ -2,7 +2,8 @@
 
 Types: C text (trailing blanks cut), N and F whole numbers or doubles, D date,
 L boolean, I 32-bit whole number, B double.  Blank fields and fields that do not read
-as their type are null; deleted records are left out.
+as their type are null; deleted records are left out.  A value that does not fit its
+field, or a character that the encoding lacks, is an error when written: nothing is cut.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import date
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
 
 TYPES = "CNFDLIB"
@@ -71,44 +74,62 @@ def read_header(data: bytes) -> Header:
     return Header(records, header_size, record_size, tuple(fields))
 
 
-def _value(f: Field, raw: bytes, encoding: str):
-    if f.type == "I":
-        return struct.unpack("<i", raw)[0]
-    if f.type == "B":
-        return struct.unpack("<d", raw)[0]
-    text = raw.decode(encoding, "replace").rstrip(" \0")
-    if f.type == "C":
-        return text or None
-    text = text.strip()
-    if not text:
-        return None
-    try:
-        if f.type == "D":
-            return date(int(text[:4]), int(text[4:6]), int(text[6:8]))
-        if f.type == "L":
-            return {"T": True, "Y": True, "F": False, "N": False}.get(text.upper())
-        return float(text) if isinstance(f.spark_type, T.DoubleType) else int(float(text))
-    except ValueError:
-        return None
-
-
-def read_batches(data: bytes, columns: Sequence[str] | None = None, encoding: str = "latin-1", rows: int = 8192) -> Iterable[pa.RecordBatch]:
-    """Record batches of the chosen columns (all by default)."""
-    from pyspark.sql.pandas.types import to_arrow_type
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
 
+def _texts(raw: np.ndarray, encoding: str) -> pa.Array:
+    """Trailing blanks and zero bytes cut, empty as null; one pass over the column's bytes if they are ASCII."""
+    width = raw.dtype.itemsize
+    data = np.ascontiguousarray(raw).view(np.uint8).reshape(len(raw), width)
+    if (data < 128).all():
+        offsets = pa.py_buffer(np.arange(0, (len(raw) + 1) * width, width, dtype=np.int32).tobytes())
+        whole = pa.Array.from_buffers(pa.string(), len(raw), [None, offsets, pa.py_buffer(data.tobytes())])
+        text = pc.utf8_rtrim(whole, " \0")
+    else:
+        text = pa.array([bytes(r).decode(encoding, "replace").rstrip(" \0") for r in data], pa.string())
+    return pc.if_else(pc.equal(text, ""), pa.scalar(None, pa.string()), text)
+
+
+def _column(f: Field, raw: np.ndarray, encoding: str) -> pa.Array:
+    if f.type in "IB":
+        return pa.array(np.ascontiguousarray(raw).view("<i4" if f.type == "I" else "<f8"))
+    text = _texts(raw, encoding)
+    if f.type == "C":
+        return text
+    text, none = pc.utf8_trim(text, " "), pa.scalar(None, pa.string())
+    fits = lambda pattern: pc.if_else(pc.match_substring_regex(text, pattern), text, none)
+    if f.type == "D":
+        day = pc.strptime(fits("^[0-9]{8}$"), format="%Y%m%d", unit="s", error_is_null=True)
+        real = pc.equal(pc.strftime(day, format="%Y%m%d"), text)  # the 30th of February is read as a day of March
+        return pc.if_else(real, day, pa.scalar(None, day.type)).cast(pa.date32())
+    if f.type == "L":
+        upper = pc.utf8_upper(text)
+        true, false = (pc.is_in(upper, pa.array(x)) for x in (["T", "Y"], ["F", "N"]))
+        return pc.if_else(true, True, pc.if_else(false, False, pa.scalar(None, pa.bool_())))
+    number = pc.utf8_ltrim(fits(_NUMBER), "+")
+    if isinstance(f.spark_type, T.DoubleType):
+        return number.cast(pa.float64())
+    whole = pc.match_substring_regex(number, "^-?[0-9]+$")
+    exact = pc.if_else(whole, number, none).cast(pa.int64())
+    cut = pc.trunc(pc.if_else(whole, none, number).cast(pa.float64())).cast(pa.int64(), safe=False)
+    return pc.coalesce(exact, cut).cast(pa.int32() if isinstance(f.spark_type, T.IntegerType) else pa.int64())
+
+
+def read_batches(data: bytes, columns: Sequence[str] | None = None, encoding: str = "latin-1", rows: int = 65536) -> Iterable[pa.RecordBatch]:
+    """Record batches of the chosen columns (all by default), decoded column by column."""
     h = read_header(data)
-    body = data[h.header_size :]
-    count = min(h.records, len(body) // h.record_size)
+    count = min(h.records, (len(data) - h.header_size) // h.record_size)
     wanted, at = [], 1
     for f in h.fields:
         if columns is None or f.name in columns:
             wanted.append((f, at))
         at += f.size
+    layout = np.dtype({"names": ["deleted", *(str(i) for i in range(len(wanted)))], "formats": ["S1", *(f"V{f.size}" for f, _ in wanted)], "offsets": [0, *(o for _, o in wanted)], "itemsize": h.record_size})
+    body = np.frombuffer(data, layout, count, h.header_size)
     for start in range(0, count, rows):
-        records = [body[i * h.record_size : (i + 1) * h.record_size] for i in range(start, min(start + rows, count))]
-        records = [r for r in records if r[:1] != b"*"]
-        arrays = [pa.array([_value(f, r[o : o + f.size], encoding) for r in records], to_arrow_type(f.spark_type)) for f, o in wanted]
-        yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f, _ in wanted])
+        part = body[start : start + rows]
+        part = part[part["deleted"] != b"*"]
+        yield pa.RecordBatch.from_arrays([_column(f, part[str(i)], encoding) for i, (f, _) in enumerate(wanted)], names=[f.name for f, _ in wanted])
 
 
 def _written(f: Field, v, encoding: str) -> bytes:
@@ -129,7 +150,10 @@ def _written(f: Field, v, encoding: str) -> bytes:
         return text.rjust(f.size).encode("ascii")
     else:
         text = str(v)
-    return text.encode(encoding, "replace")[: f.size].ljust(f.size)
+    raw = text.encode(encoding)
+    if len(raw) > f.size:
+        raise SchemaError(f"a text of {len(raw)} bytes does not fit field {f.name} of {f.size}")
+    return raw.ljust(f.size)
 
 
 def write_table(fields: Sequence[Field], rows: Iterable[dict], encoding: str = "latin-1") -> bytes:
@@ -144,7 +168,7 @@ def write_table(fields: Sequence[Field], rows: Iterable[dict], encoding: str = "
 
 
 def fields_of(schema: T.StructType, sizes: dict[str, int] | None = None) -> list[Field]:
-    """Fields that hold a Spark schema; text is 254 wide unless a size is given."""
+    """Fields that hold a Spark schema; text is 254 wide, the most a field can hold, unless a size is given."""
     out = []
     for s in schema.fields:
         n = (sizes or {}).get(s.name)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ftplib
 import os
+import shutil
 from collections.abc import Callable, Mapping
 from pathlib import Path
 from typing import Protocol
@@ -58,6 +59,24 @@ class FtpClient:
         self._session.quit()
 
 
+class FolderClient:
+    """A folder of this machine in the place of a remote one."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def list(self, path: str = "/") -> list[dict]:
+        return [{"name": p.name, "size": p.stat().st_size} for p in sorted(Path(self.folder).iterdir()) if p.is_file()]
+
+    def download(self, dest: str, remote: str) -> None:
+        if not Path(dest).exists():
+            shutil.copyfile(Path(self.folder) / Path(remote).name, f"{dest}.part")
+            os.replace(f"{dest}.part", dest)
+
+    def close(self) -> None:
+        pass
+
+
 class Gateway:
     """Files of one remote folder, selected by a naming strategy."""
 

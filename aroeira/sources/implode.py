@@ -38,6 +38,20 @@ def _codes(runs: tuple[int, ...]) -> dict[tuple[int, int], int]:
 
 
 _LENGTHS, _DISTANCES, _LITERALS = map(_codes, (_LENGTH_RUNS, _DISTANCE_RUNS, _LITERAL_RUNS))
+_PEEK = 13
+
+
+def _table(codes: dict[tuple[int, int], int]) -> list[int]:
+    """For each value of the next 13 bits: 16 * symbol + bits of its code, or -1; a code's first bit is the lowest."""
+    out = [-1] * (1 << _PEEK)
+    for (bits, code), symbol in codes.items():
+        first = int(f"{code:0{bits}b}"[::-1], 2)
+        for rest in range(1 << (_PEEK - bits)):
+            out[first | rest << bits] = symbol << 4 | bits
+    return out
+
+
+_LENGTH_TABLE, _DISTANCE_TABLE, _LITERAL_TABLE = map(_table, (_LENGTHS, _DISTANCES, _LITERALS))
 
 
 def explode(data: bytes) -> bytes:
@@ -49,39 +63,50 @@ def explode(data: bytes) -> bytes:
         raise BrokenStream("not a compressed stream")
     pool, held, at, end = 0, 0, 2, len(data)
     out = bytearray()
-
-    def take(n: int) -> int:
-        nonlocal pool, held, at
-        while held < n:
-            if at >= end:
-                raise BrokenStream("the stream ends too early")
-            pool |= data[at] << held
-            held += 8
-            at += 1
-        v = pool & ((1 << n) - 1)
-        pool >>= n
-        held -= n
-        return v
-
-    def symbol(codes: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for bits in range(1, 14):
-            code = code << 1 | take(1)
-            s = codes.get((bits, code))
-            if s is not None:
-                return s
-        raise BrokenStream("unknown code")
-
     while True:
-        if not take(1):
-            out.append(symbol(_LITERALS) if coded else take(8))
+        # a token takes at most 1 + 13 + 8 + 13 + 6 bits
+        if held < 48:
+            more = data[at : at + 16]
+            pool |= int.from_bytes(more, "little") << held
+            at += len(more)
+            held += 8 * len(more)
+        if not pool & 1:
+            if coded:
+                found = _LITERAL_TABLE[pool >> 1 & 0x1FFF]
+                if found < 0:
+                    raise BrokenStream("unknown code")
+                out.append(found >> 4)
+                used = 1 + (found & 15)
+            else:
+                out.append(pool >> 1 & 255)
+                used = 9
+            pool >>= used
+            held -= used
+            if held < 0:
+                raise BrokenStream("the stream ends too early")
             continue
-        s = symbol(_LENGTHS)
-        n = _BASE[s] + take(_EXTRA[s])
+        pool >>= 1
+        found = _LENGTH_TABLE[pool & 0x1FFF]
+        if found < 0:
+            raise BrokenStream("unknown code")
+        s, bits = found >> 4, found & 15
+        extra = _EXTRA[s]
+        n = _BASE[s] + (pool >> bits & (1 << extra) - 1)
+        pool >>= bits + extra
+        held -= 1 + bits + extra
+        if held < 0:
+            raise BrokenStream("the stream ends too early")
         if n == _END:
             return bytes(out)
-        low = 2 if n == 2 else window
-        distance = (symbol(_DISTANCES) << low | take(low)) + 1
+        found = _DISTANCE_TABLE[pool & 0x1FFF]
+        if found < 0:
+            raise BrokenStream("unknown code")
+        low, bits = 2 if n == 2 else window, found & 15
+        distance = ((found >> 4) << low | (pool >> bits & (1 << low) - 1)) + 1
+        pool >>= bits + low
+        held -= bits + low
+        if held < 0:
+            raise BrokenStream("the stream ends too early")
         if distance > len(out):
             raise BrokenStream("a copy from before the start")
         start = len(out) - distance

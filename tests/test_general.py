@@ -230,6 +230,14 @@ def test_skew_join(spark):
     assert skew.skew_join(left.limit(0), right, "k", "r").count() == 0
 
 
+def test_skew_join_moves_each_side_once_and_merges(spark, data):
+    """The sharded side is never broadcast, whatever run-time statistics say."""
+    df = core_queries.p3_join(spark, data)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("SortMergeJoin [task") == 1 and "SinglePartition" not in plan.split("SortMergeJoin [task")[1].split("BroadcastHashJoin")[0]
+
+
 def test_extra_columns_do_not_clash(spark, data):
     df = spark.read.parquet(f"{data}/sia_records.parquet")
     more = df.withColumns({c: F.lit(1) for c in ("task", "bad", "s", "prev", "records", "p", "h_key")})

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from aroeira.functions.scoring import fellegi_sunter_weights, log2_ratio
-from aroeira.operators import index
+from aroeira.operators import index, linkage
 from aroeira.operators.linkage import CohortConfig, LinkageConfig, LinkageStrategy
 
 from .conftest import bag
@@ -47,7 +47,7 @@ def test_deterministic_and_document(spark):
     assert pairs(m) == [("1", "10", None), ("2", "20", None)]
     r = m.where("cohort.ID = '1'").first()
     assert (r.cohort.NOME, r.target.NOME, r.step.name, r.step.type) == ("Joao", "Joao", "d", "deterministic") and r.matched_at is not None
-    for i in ("sort-merge", "hash", "external"):
+    for i in ("sort-merge", "hash", index.ExternalIndex("cohort_of_tests", 4)):
         assert pairs(link(c, (t, det(same("UF", "SEXO"))), index=i)) == pairs(m)
 
 
@@ -149,7 +149,7 @@ def test_large_blocks(spark):
     t = spark.range(500).selectExpr("id ID", "'M' SEXO", "cast(id % 3 as string) UF", "cast(id as string) COD")
     assert link(c, (t, det(same("COD"), same("SEXO")))).count() == 500
     config = prob("fellegi-sunter", same("UF"), same("SEXO"), {"UF": {"m": 0.8, "u": 0.1}}, 0)
-    assert link(c, (t, config), salt=8).count() == link(c, (t, config)).count() == 333_334
+    assert link(c, (t, config), tasks=8).count() == link(c, (t, config)).count() == 333_334
     c = spark.range(1000).selectExpr("id ID", "cast(id % 2 as string) SEXO", "cast(id % 5 as string) UF", "cast(id % 10 as string) CIDADE")
     assert link(c, (c.where("ID < 500"), prob("simple", same("UF", "CIDADE"), same("SEXO"), threshold=0.8))).count() == 50_000
 
@@ -199,3 +199,20 @@ def test_index(spark):
     index.persist(ix, "people_index", 2)
     assert spark.table("people_index").count() == 3
     spark.sql("drop table people_index")
+
+
+def test_hot_blocks_are_cut_by_load(spark):
+    """One block with nearly all pairs, cut on its larger side; pairs stay the same."""
+    c = spark.range(300).selectExpr("cast(id as string) ID", "if(id < 250, 'hot', concat('k', id)) K", "id % 3 A")
+    t = spark.range(900).selectExpr("cast(id as string) ID", "if(id < 800, 'hot', concat('k', id % 300)) K", "id % 3 A")
+    config = prob("simple", {"A": "A"}, {"K": "K"}, threshold=1)
+    keyed = lambda df, name: linkage._keyed(df, ["K"], name).select("block_key")
+    (key, shards, divided), = linkage.hot_blocks(keyed(c, "cohort"), keyed(t, "target"), 8)
+    assert (key, divided) == ("hot", True) and shards == 16
+    want = sorted((a.ID, b.ID) for a in c.collect() for b in t.collect() if a.K == b.K and a.A == b.A)
+    for left, right, turn in ((c, t, False), (t, c, True)):
+        got = [(r.cohort.ID, r.target.ID) for r in link(left, (right, config), tasks=8).collect()]
+        assert sorted((b, a) if turn else (a, b) for a, b in got) == want
+    cut = linkage._sharded(linkage._keyed(t, ["K"], "target"), "target", [("hot", 16, True)])
+    sizes = [r["count"] for r in cut.where("block_key = 'hot'").groupBy("shard").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 100

@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from aroeira.functions.criteria import CriteriaSet, StringCriteria
-from aroeira.plans.pipeline import Orchestrator, RunConfig, global_summary
+from aroeira.operators import matches
+from aroeira.plans.pipeline import FailToScheduleJob, Orchestrator, RunConfig, global_summary
 from aroeira.sources import catalog, dbc, dbf, implode, systems
 from aroeira.sources.datasource import register
 from aroeira.sources.ftp import CouldNotConnect, FtpClient, Gateway
@@ -144,6 +145,68 @@ def test_deleted_blank_and_broken_values():
         dbf.read_header(b"short")
 
 
+def test_what_does_not_fit_is_an_error(spark, tmp_path):
+    for field, value in ((dbf.Field("A", "C", 3), "abcdef"), (dbf.Field("A", "C", 3), "日本"), (dbf.Field("A", "N", 2), 123), (dbf.Field("A", "N", 4, 2), 12.5)):
+        with pytest.raises(ValueError):
+            dbf.write_table([field], [{"A": value}])
+    register(spark)
+    with pytest.raises(Exception, match="does not fit"):
+        spark.sql("select 'abcdef' A").write.format("dbc").option("sizes", "A:3").mode("append").save(str(tmp_path / "x"))
+
+
+def test_columns_decode_as_their_cells_do():
+    """Odd cells of every type, against reading one cell at a time."""
+    fields = [dbf.Field("C", "C", 6), dbf.Field("I", "N", 8), dbf.Field("L", "N", 17), dbf.Field("F", "N", 8, 2), dbf.Field("D", "D", 8), dbf.Field("B", "L", 1)]
+    cells = {
+        "C": ["abc", " a b", "", "é", "x\0", "\0"], "I": ["12", "-7", "+5", "x", "3.9", ""], "L": ["90071992547409931", "1e3", "-2.5", "", "12a", "."],
+        "F": ["1.25", ".5", "5.", "nan", "1,5", "-1e2"], "D": ["20240229", "20230229", "", "2024-1-1", "00000000", "19991231"], "B": ["T", "y", "F", "n", "?", ""],
+    }
+    body = b"".join(b" " + b"".join(cells[f.name][i].encode("latin-1").ljust(f.size) for f in fields) for i in range(6))
+    data = bytearray(dbf.write_table(fields, [{}] * 6))
+    h = dbf.read_header(bytes(data))
+    data[h.header_size : h.header_size + len(body)] = body
+    got = {f.name: [r for b in dbf.read_batches(bytes(data), rows=4) for r in b.to_pydict()[f.name]] for f in fields}
+    assert got == {
+        "C": ["abc", " a b", None, "é", "x", None], "I": [12, -7, 5, None, 3, None], "L": [90071992547409931, 1000, -2, None, None, None],
+        "F": [1.25, 0.5, 5.0, None, None, -100.0], "D": [date(2024, 2, 29), None, None, None, None, date(1999, 12, 31)], "B": [True, True, False, False, None, None],
+    }
+    assert [len(b) for b in dbf.read_batches(dbf.write_table(fields, []))] == []
+
+
+def test_failed_chunks_and_landing_once(spark, tmp_path):
+    (tmp_path / "remote").mkdir(), (tmp_path / "land").mkdir()
+    landed(tmp_path / "remote")
+    (tmp_path / "remote" / "PAAC1003.dbc").write_bytes(b"broken")
+    remote = Remote({p.name: p.read_bytes() for p in (tmp_path / "remote").iterdir()})
+    o = Orchestrator(spark, Gateway(remote, "/d/", StatePeriod()), RunConfig(data_path=str(tmp_path / "land"), concurrency=1)).subset({"src": "PA", "states": ["AC"]})
+    rows, failed = [], []
+    assert o.run(lambda df: rows.append(df.count()), on_error=lambda e, chunk: failed.append((e.chunk, chunk))) == 2
+    assert rows == [2500, 10] and failed == [(["PAAC1003.dbc"], ["PAAC1003.dbc"])]
+    with pytest.raises(FailToScheduleJob, match="PAAC1003"):
+        o.run(lambda df: df.count())
+    assert sorted(remote.got) == ["/d/PAAC1001.dbc", "/d/PAAC1002.dbc", "/d/PAAC1003.dbc"]
+
+
+def test_match_repositories_and_callback(spark, tmp_path):
+    m = spark.sql("select struct(1 as id, 'a' as n) cohort, struct(2 as id) target, cast(null as double) score")
+    kept, stored = matches.MatchRepository(), matches.StoredMatchRepository(spark, str(tmp_path / "m"))
+    assert kept.all() is None
+    for _ in range(2):
+        kept.save(m), stored.save(m)
+    assert kept.all().count() == stored.all().count() == 2 and stored.all().first().cohort == '{"id":1,"n":"a"}'
+    kept.clear(), stored.clear()
+    assert kept.all() is None and stored.all().count() == 0
+    seen = spark.sparkContext.accumulator(0)
+    matches.for_each(spark.range(10), lambda r: seen.add(r.id))
+    assert seen.value == 45
+    with pytest.raises(Exception, match="no record"):
+        matches.for_each(spark.range(1), fail)
+
+
+def fail(_):
+    raise ValueError("no record")
+
+
 def landed(tmp_path, names=("PAAC1001", "PAAC1002")):
     for k, n in enumerate(names):
         w = dbc.DbcWriter(str(tmp_path / f"{n}.dbc"), FIELDS[: 7 - k])
@@ -184,6 +247,7 @@ def test_orchestrator(spark, tmp_path):
     assert bag(o.summary().drop("filters")) == [("PAAC1001.dbc", 2500, 1250, 0), ("PAAC1002.dbc", 10, 5, 0)]
     assert bag(global_summary(o.summary())) == [(2, 2510, 1255, 0)]
     assert sorted(remote.got) == ["/d/PAAC1001.dbc", "/d/PAAC1002.dbc"]
+    assert all([tuple(f) for f in r.filters] == [("string", "PA_SEXO", ["F"])] for r in o.summary().collect())
     o.write_summary(str(tmp_path / "summary"))
     assert spark.read.json(str(tmp_path / "summary")).count() == 2
     empty = Orchestrator(spark, Gateway(remote, "/d/", StatePeriod()), config).subset({"src": "PA", "states": ["XX"]})
