@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable, release, ship
+from ..session import durable, kept, release, scratch, ship
 from .components import components, edges_of
 
 WINDOW = 8
@@ -394,7 +394,7 @@ def auction(edges: DataFrame) -> DataFrame:
         if free.isEmpty():
             if step == 1:
                 break
-            step = max(1, step // 8)
+            step = max(1, step // 64)  # a round costs jobs, whatever its bids: few phases
             after = durable(state.withColumn("owner", F.lit(None).cast("struct<kind:int,id:bigint>")))
         else:
             gain = free.join(state.select("o", "price"), "o").withColumn("gain", F.col("v") - F.col("price"))
@@ -489,10 +489,12 @@ def match_people(cohort: DataFrame, target: DataFrame, cohort_source: Source = C
     """
     both = normalised(cohort, cohort_source, "c").unionByName(normalised(target, target_source, "t"))
     # ids of the two sources may clash: even numbers for one, odd for the other
-    people = durable(both.withColumn("id", 2 * F.col("id") + F.when(F.col("side") == "t", 1).otherwise(0)))
-    people = durable(with_known_names(people))
-    scored = durable(links(people, window))
-    person, same = assigned(people, scored)
+    with scratch():
+        people = durable(both.withColumn("id", 2 * F.col("id") + F.when(F.col("side") == "t", 1).otherwise(0)))
+        people = kept(durable(with_known_names(people)))
+        scored = kept(durable(links(people, window)))
+    with scratch():
+        person, same = map(kept, assigned(people, scored))
     c = person.select(F.col("person").alias("c"), F.col("id").alias("i"))
     t = person.select(F.col("person").alias("t"), F.col("id").alias("j"))
     pairs = same.join(c, "c").join(t, "t").select(F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .mail import sentences
 from .subjects import LEAST_SENTENCES, SubjectModel
-from .tokens import BPE_50K, small_batches, token_counts, tokenizer
+from .tokens import BPE_50K, pieces, token_counts, tokenizer, vocabulary
 
 #: Rounds after which raking stops though weights still move; the report then shows what is left.
 ROUNDS = 500
@@ -142,19 +142,20 @@ def sized(documents: DataFrame, model: SubjectModel | None = None, path: str = B
     if model is None:
         return token_counts(documents, ["doc_id", "source", "lang"], "text", path).withColumn("topic", F.lit(None).cast("string"))
     shared = ship(documents.sparkSession).sparkContext.broadcast((model.subjects, model.terms, model.h, model.known))
+    ranks = vocabulary(documents.sparkSession, path)
     slim = documents.select("doc_id", "source", "lang", "text")
     kinds = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in ("doc_id", "source", "lang"))
 
     def run(batches):
-        m, bpe = SubjectModel(*shared.value), tokenizer(path)
-        for batch in batches:
+        m, bpe = SubjectModel(*shared.value), tokenizer(ranks.value)
+        for batch in pieces(batches, 3):
             texts = batch.column(3).to_pylist()
             treated = m.counts([sentences(t) for t in texts]) >= LEAST_SENTENCES
             topics = ["|".join(m.subjects[i] for i in np.flatnonzero(r)) or None for r in treated]
             tokens = [bpe.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(tokens, pa.int64()), pa.array(topics, pa.string())], names=["doc_id", "source", "lang", "tokens", "topic"])
 
-    return small_batches(slim).mapInArrow(run, f"{kinds}, tokens bigint, topic string")
+    return slim.mapInArrow(run, f"{kinds}, tokens bigint, topic string")
 
 
 def mix(sizes: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: float | None = None) -> DataFrame:

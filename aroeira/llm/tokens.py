@@ -18,11 +18,16 @@ from __future__ import annotations
 import base64
 import os
 import re
-from itertools import chain
+import zlib
+from array import array
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 
@@ -43,14 +48,14 @@ REMEMBERED_PAIRS = 1_000_000
 
 
 class ByteBpe:
-    """Exact byte-level BPE from a rank file (base64 token, rank per line)."""
+    """Exact byte-level BPE from a rank file (base64 token, rank per line), given as its path or its bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, source: str | bytes) -> None:
         import ahocorasick
         import regex
 
-        with open(path, "rb") as lines:
-            self.rank = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
+        lines = (source if isinstance(source, bytes) else Path(source).read_bytes()).splitlines()
+        self.rank = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
         self.text = {r: t for t, r in self.rank.items()}
         self.length = [len(self.text.get(r, b"")) for r in range(max(self.text, default=0) + 1)]
         self.automaton = ahocorasick.Automaton()
@@ -145,10 +150,12 @@ class ByteBpe:
             choice = len(options[at]) if at < end else 0
         return path
 
+    def encoded(self, text: str | None) -> bytes:
+        """The ids of a text, four bytes each."""
+        return b"".join(map(self.words.__getitem__, WORDS.findall(text))) if text else b""
+
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        return list(chain.from_iterable(map(self.words.__getitem__, WORDS.findall(text))))
+        return np.frombuffer(self.encoded(text), np.int32).tolist()
 
     def count(self, text: str | None) -> int:
         return sum(map(self.sizes.__getitem__, WORDS.findall(text))) if text else 0
@@ -161,10 +168,10 @@ class _Pieces(dict):
         super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         data = piece.encode("utf-8")
         whole = self.bpe.rank.get(data)
-        ids = (whole,) if whole is not None else tuple(self.bpe.cover(data))
+        ids = array("i", (whole,) if whole is not None else self.bpe.cover(data)).tobytes()
         if len(piece) <= REMEMBERED_PIECE:
             if len(self) >= REMEMBERED_WORDS:
                 self.clear()
@@ -179,8 +186,8 @@ class _Words(dict):
         super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(map(self.bpe.pieces.__getitem__, self.bpe.split(word))))
+    def __missing__(self, word: str) -> bytes:
+        ids = b"".join(map(self.bpe.pieces.__getitem__, self.bpe.split(word)))
         if len(word) <= REMEMBERED_WORD:
             if len(self) >= REMEMBERED_WORDS:
                 self.clear()
@@ -196,7 +203,7 @@ class _Sizes(dict):
         self.bpe = bpe
 
     def __missing__(self, word: str) -> int:
-        n = sum(map(len, map(self.bpe.pieces.__getitem__, self.bpe.split(word))))
+        n = sum(map(len, map(self.bpe.pieces.__getitem__, self.bpe.split(word)))) // 4
         if len(word) <= REMEMBERED_WORD:
             if len(self) >= REMEMBERED_WORDS:
                 self.clear()
@@ -204,48 +211,59 @@ class _Sizes(dict):
         return n
 
 
-_LOADED: dict[str, ByteBpe] = {}
+_LOADED: dict[tuple[int, int], ByteBpe] = {}
+
+
+def vocabulary(spark: SparkSession, path: str = BPE_50K) -> Broadcast:
+    """The rank file, read on the driver and sent to the workers: about a megabyte, whatever the corpus."""
+    return ship(spark).sparkContext.broadcast(Path(path).read_bytes())
+
 
+def tokenizer(data: bytes) -> ByteBpe:
+    """One tokenizer per worker process and vocabulary."""
+    key = (len(data), zlib.crc32(data))
+    if key not in _LOADED:
+        _LOADED[key] = ByteBpe(data)
+    return _LOADED[key]
 
-def tokenizer(path: str = BPE_50K) -> ByteBpe:
-    """One tokenizer per worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBpe(path)
-    return _LOADED[path]
+
+def pieces(batches: Iterable[pa.RecordBatch], text: int, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut where ``size`` bytes of the text column are full, so long texts do not pile up; texts stay whole."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            end = max(at + 1, full)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = BPE_50K) -> DataFrame:
     """(key, ids): the ids of every text, whole, without special tokens."""
-    kind = df.schema[key].dataType.simpleString()
+    kind, ranks = df.schema[key].dataType.simpleString(), vocabulary(df.sparkSession, path)
 
     def run(batches):
-        bpe = tokenizer(path)
-        for batch in batches:
-            ids = [np.asarray(bpe.encode(t), dtype=np.int32) for t in batch.column(1).to_pylist()]
+        bpe = tokenizer(ranks.value)
+        for batch in pieces(batches, 1):
+            ids = [bpe.encoded(t) for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
 
-    return small_batches(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str = BPE_50K) -> DataFrame:
     """(*keep, tokens): the number of ids of every text; only the number leaves Python."""
-    slim = df.select(*keep, text)
+    slim, ranks = df.select(*keep, text), vocabulary(df.sparkSession, path)
     schema = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
-        bpe = tokenizer(path)
-        for batch in batches:
+        bpe = tokenizer(ranks.value)
+        for batch in pieces(batches, len(keep)):
             tokens = pa.array([bpe.count(t) for t in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], tokens], names=[*keep, "tokens"])
 
-    return small_batches(slim).mapInArrow(run, schema + ", tokens bigint")
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """Arrow batches are cut by bytes as well as rows, so long texts do not pile up."""
-    ship(df.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    return df
+    return slim.mapInArrow(run, schema + ", tokens bigint")

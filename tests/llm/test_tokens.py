@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings
@@ -78,3 +79,12 @@ def test_frames(spark):
     assert sorted((r.doc_id or 0, r.tokens) for r in tokens.token_counts(df, ["doc_id", "source"], path=path).collect()) == [(0, len(theirs("olá"))), (1, 2), (1, 2), (2, 0), (3, 0)]
     assert tokens.encode(df.limit(0), path=path).count() == 0
     assert tokens.encode(df, path=path).schema.simpleString() == "struct<doc_id:bigint,ids:array<int>>"
+
+
+def test_batches_are_cut_by_bytes():
+    texts = ["a" * 10, None, "", "b" * 100, "c" * 3, "d" * 3, "e" * 9]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(7)), "t": pa.array(texts, pa.string())})
+    for size in (1, 5, 12, 20, 1000):
+        got = list(tokens.pieces([batch, batch.slice(0, 0)], 1, size))
+        assert [t for p in got for t in p.column(1).to_pylist()] == texts
+        assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= size for p in got)
