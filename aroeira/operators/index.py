@@ -58,14 +58,17 @@ class Index(Protocol):
 class ExternalIndex:
     """The cohort as a table bucketed by block key, kept outside the run; joins on it do not shuffle it.
 
-    It replaces an earlier table of the name, so a second run finds no doubled candidates.
+    ``path``: a folder of shared storage, the session's warehouse by default.  It replaces
+    an earlier table of the name, so a second run finds no doubled candidates.
     """
 
     table: str
     buckets: int = 200
+    path: str | None = None
 
     def built(self, keyed: DataFrame) -> DataFrame:
-        keyed.write.mode("overwrite").bucketBy(self.buckets, "block_key").sortBy("block_key").saveAsTable(self.table)
+        writer = keyed.write.mode("overwrite").bucketBy(self.buckets, "block_key").sortBy("block_key")
+        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.table)
         return keyed.sparkSession.table(self.table)
 
     def drop(self, spark) -> None:

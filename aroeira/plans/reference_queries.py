@@ -20,7 +20,7 @@ from ..sources import catalog, dbc, dbf
 from ..sources.datasource import files_of, register
 from ..sources.ftp import FolderClient, Gateway
 from ..sources.naming import CountryYear, StatePeriod, StateYear
-from ..sources.systems import states
+from ..sources.systems import SYSTEMS, states
 from . import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -417,6 +417,22 @@ def state_codes(spark, d):
     return F.broadcast(states(spark)).join(codes, "code", "left_semi").select("uf", "code")
 
 
+@query("""SELECT * FROM (VALUES ('sia', '/dissemin/publicos/SIASUS/200801_/Dados/', 13, 6, 'PA_CODUNI=2270196'), ('sih', '/dissemin/publicos/SIHSUS/200801_/Dados/', 4, 4, 'CNES=2270196'),
+  ('sim', '/dissemin/publicos/SIM/CID10/DORES/', 6, 4, ''), ('sinan', '/dissemin/publicos/SINAN/DADOS/PRELIM/', 58, 4, 'SG_UF_NOT=33')) v(name, path, sources, concurrency, criteria)""")
+def system_registry(spark, d):
+    """The systems with their folders, file families and criteria."""
+    rows = [(s.name, s.path, len(s.sources), s.concurrency, ",".join(f"{c['prop']}={c['value']}" for c in s.criteria.to_dict())) for s in SYSTEMS.values()]
+    return spark.createDataFrame(rows, "name string, path string, sources int, concurrency int, criteria string")
+
+
+@query("""SELECT c_custkey, replace(format('{:,}', c_custkey * 7919), ',', '.') AS number, CASE WHEN s // 3600 % 24 > 0 THEN (s // 3600 % 24) || 'h ' ELSE '' END
+  || CASE WHEN s // 60 % 60 > 0 OR s // 3600 % 24 > 0 THEN (s // 60 % 60) || 'm ' ELSE '' END || (s % 60) || 's' AS duration FROM (SELECT c_custkey, c_custkey * 61 AS s FROM customer)""")
+def run_texts(spark, d):
+    """Durations and numbers as a run reports them."""
+    keys = [r[0] for r in table(spark, d, "customer", "c_custkey").collect()]
+    return spark.createDataFrame([(k, formats.brazilian(k * 7919), formats.duration(k * 61_000)) for k in keys], "c_custkey bigint, number string, duration string")
+
+
 # Index
 
 
@@ -664,7 +680,7 @@ def link_people(spark, d):
 @query("SELECT c_custkey AS c, o_orderkey AS t FROM customer JOIN orders ON c_custkey = o_custkey")
 def link_external_index(spark, d):
     """The cohort as a bucketed table outside the run."""
-    m = _link(_customers(spark, d), (_orders(spark, d), _det("s", {"c_custkey": "o_custkey"})), index=index.ExternalIndex(f"cohort_{uuid.uuid4().hex}", 8))
+    m = _link(_customers(spark, d), (_orders(spark, d), _det("s", {"c_custkey": "o_custkey"})), index=index.ExternalIndex(f"cohort_{uuid.uuid4().hex}", 8, new_folder(spark, "index")))
     return m.select(F.col("cohort.c_custkey").alias("c"), F.col("target.o_orderkey").alias("t"))
 
 

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,9 +60,34 @@ def durable(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._aroeira_path = path
+    if _made:
+        _made[-1].append(out)
     return out
 
 
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that :func:`durable` writes inside are deleted at the end, but those :func:`kept`."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for df in _made.pop():
+            release(df)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table of the innermost :func:`scratch` that stays; it then belongs to the scratch around it, if any."""
+    if _made and any(x is df for x in _made[-1]):
+        _made[-1] = [x for x in _made[-1] if x is not df]
+        if len(_made) > 1:
+            _made[-2].append(df)
+    return df
+
+
 def release(df: DataFrame) -> None:
     """Deletes the files of a table made by :func:`durable` that nothing reads any more."""
     path = getattr(df, "_aroeira_path", None)
