@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from aroeira.llm import components, entities, mixing, subjects
+from aroeira.session import durable
 
 T0 = datetime(2024, 1, 1)
 
@@ -212,8 +213,8 @@ def test_every_row_comes_from_the_assignment(spark):
     s01 = "/root/testdata/sf0.01"
     cohort, target = spark.read.parquet(f"{s01}/cohort_people.parquet"), spark.read.parquet(f"{s01}/target_people.parquet")
     both = entities.normalised(cohort, entities.COHORT, "c").unionByName(entities.normalised(target, entities.TARGET, "t"))
-    people = entities.with_known_names(both.withColumn("id", 2 * F.col("id") + F.when(F.col("side") == "t", 1).otherwise(0)))
-    person, same = entities.assigned(people, entities.links(people))
+    people = durable(entities.with_known_names(both.withColumn("id", 2 * F.col("id") + F.when(F.col("side") == "t", 1).otherwise(0))))
+    person, same = entities.assigned(people, durable(entities.links(people)))
     of, joined = {r.id: r.person for r in person.collect()}, {tuple(r) for r in same.collect()}
     assert len({c for c, _ in joined}) == len({t for _, t in joined}) == len(joined)
     members = {}
