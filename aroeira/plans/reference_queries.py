@@ -6,6 +6,7 @@ import json
 import uuid
 import warnings
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,19 +85,30 @@ def filter_unmerged_conflict(spark, d):
     return CriteriaSet.from_dict(objects).filter(_records(spark, d)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n")
+def _counted(**counts: DataFrame) -> DataFrame:
+    """One line with the number of rows of each DataFrame."""
+    one = [df.agg(F.count(F.lit(1)).alias(k)) for k, df in counts.items()]
+    return reduce(lambda x, y: x.crossJoin(y), one)
+
+
+@query("SELECT count(*) FILTER (sexo = 'F') AS present, CAST(0 AS BIGINT) AS absent FROM sia_records")
 def filter_missing_column(spark, d):
-    return CriteriaSet.set([StringCriteria("x", "SEXO")]).filter(_records(spark, d)).agg(F.count(F.lit(1)).alias("n"))
+    """A column of another case is another column: on one that is not there nothing matches."""
+    on = lambda prop: CriteriaSet.set([StringCriteria("F", prop)]).filter(_records(spark, d))
+    return _counted(present=on("sexo"), absent=on("SEXO"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n")
+@query("SELECT count(*) FILTER (CAST(qt_aprov AS VARCHAR) = '1') AS as_text, CAST(0 AS BIGINT) AS as_number FROM sia_records")
 def filter_non_string(spark, d):
-    return CriteriaSet.set([StringCriteria("1", "qt_aprov")]).filter(_records(spark, d)).agg(F.count(F.lit(1)).alias("n"))
+    """A number never equals a text; the same values as text do."""
+    c, r = CriteriaSet.set([StringCriteria("1", "qt_aprov")]), _records(spark, d)
+    return _counted(as_text=c.filter(r.withColumn("qt_aprov", F.col("qt_aprov").cast("string"))), as_number=c.filter(r))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n")
+@query("SELECT count(*) FILTER (sexo IN ('F')) AS one_value, CAST(0 AS BIGINT) AS no_value FROM sia_records")
 def filter_empty_array(spark, d):
-    return CriteriaSet.set([ArrayCriteria([], "sexo")]).filter(_records(spark, d)).agg(F.count(F.lit(1)).alias("n"))
+    within = lambda values: CriteriaSet([ArrayCriteria(values, "sexo")]).filter(_records(spark, d))
+    return _counted(one_value=within(["F"]), no_value=within([]))
 
 
 @query(f"{_R} WHERE sexo = 'F' AND cges IN ('03', '12')")
@@ -636,21 +648,24 @@ def link_key_collision(spark, d):
     return _link(left, (right, _det("s", {}, {"x": "x", "y": "y"}))).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n")
+@query("SELECT (SELECT count(*) FROM part a JOIN part b USING (p_size)) AS one_type, CAST(0 AS BIGINT) AS two_types")
 def link_type_mismatch(spark, d):
     """A number and its text share a block and are never equal."""
     text = _parts(spark, d).withColumn("p_size", F.col("p_size").cast("string"))
-    return _link(_parts(spark, d), (text, _det("s", {"p_size": "p_size"}))).agg(F.count(F.lit(1)).alias("n"))
+    on = lambda target: _link(_parts(spark, d), (target, _det("s", {"p_size": "p_size"})))
+    return _counted(one_type=on(_parts(spark, d)), two_types=on(text))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n")
+@query("SELECT (SELECT count(*) FROM part a JOIN part b USING (p_brand)) AS known, CAST(0 AS BIGINT) AS unknown")
 def link_unknown_type(spark, d):
-    return _link(_parts(spark, d), (_parts(spark, d), LinkageConfig("s", "fuzzy", _BRAND))).agg(F.count(F.lit(1)).alias("n"))
+    of = lambda kind: _link(_parts(spark, d), (_parts(spark, d), LinkageConfig("s", kind, _BRAND)))
+    return _counted(known=of("deterministic"), unknown=of("fuzzy"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n")
+@query("SELECT count(*) AS n FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_size = 7")
 def link_no_overlap(spark, d):
-    other = _parts(spark, d).withColumn("p_brand", F.concat(F.lit("no "), "p_brand"))
+    """Targets of brands that the cohort lacks match nothing; the others all do."""
+    other = _parts(spark, d).withColumn("p_brand", F.when(F.col("p_size") == 7, F.col("p_brand")).otherwise(F.concat(F.lit("no "), "p_brand")))
     return _link(_parts(spark, d), (other, _det("s", _BRAND))).agg(F.count(F.lit(1)).alias("n"))
 
 
