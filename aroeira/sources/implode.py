@@ -1,13 +1,10 @@
 """The compression of DBC bodies: Huffman-coded lengths and distances over literals.
 
-Decoding follows the publicly described format; encoding writes literals only, which
-every decoder of the format reads.
+Both follow the publicly described format.
 """
 
 from __future__ import annotations
 
-import numpy as np
-
 # Fixed values of the format: runs of code lengths (low four bits the length, the rest
 # the repeats less one), copy length bases and extra bits.
 _LENGTH_RUNS = (2, 35, 36, 53, 38, 23)
@@ -116,10 +113,68 @@ def explode(data: bytes) -> bytes:
             out += (bytes(out[start:]) * (n // distance + 1))[:n]
 
 
+_WINDOW = 6
+_REACH = 64 << _WINDOW
+_LONGEST = _END - 1
+
+
+def _emitted(codes: dict[tuple[int, int], int]) -> dict[int, tuple[int, int]]:
+    """Symbol -> (its code with the first bit lowest, bits)."""
+    return {s: (int(f"{code:0{bits}b}"[::-1], 2), bits) for (bits, code), s in codes.items()}
+
+
+_LENGTH_CODES, _DISTANCE_CODES = _emitted(_LENGTHS), _emitted(_DISTANCES)
+
+
+def _copy_length(n: int) -> tuple[int, int]:
+    """Bits (the copy mark first, lowest) and their number that stand for a copy of ``n`` bytes."""
+    s = max((b, i) for i, b in enumerate(_BASE) if b <= n)[1]
+    code, bits = _LENGTH_CODES[s]
+    return 1 | code << 1 | (n - _BASE[s]) << (1 + bits), 1 + bits + _EXTRA[s]
+
+
+_LENGTH_BITS = {n: _copy_length(n) for n in range(3, _END + 1)}
+
+
 def implode(data: bytes) -> bytes:
-    """A compressed stream of literals: nine bits a byte, then the end mark."""
-    bits = np.zeros((len(data), 9), dtype=np.uint8)
-    bits[:, 1:] = np.unpackbits(np.frombuffer(data, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-    (length, code), _ = next((k, s) for k, s in _LENGTHS.items() if s == len(_BASE) - 1)
-    end = [1, *((code >> i) & 1 for i in reversed(range(length))), *[1] * _EXTRA[-1]]
-    return bytes([0, 6]) + np.packbits(np.concatenate([bits.ravel(), np.array(end, dtype=np.uint8)]), bitorder="little").tobytes()
+    """A compressed stream: copies of what was seen within 4,096 bytes, plain literals, the end mark.
+
+    The last place of each three bytes is tried, the longest copy from there is taken.
+    """
+    out = bytearray((0, _WINDOW))
+    pool, held, at, end = 0, 0, 0, len(data)
+    seen: dict[bytes, int] = {}
+    while at < end:
+        key = data[at : at + 3]
+        before = seen.get(key, -1)
+        seen[key] = at
+        if len(key) == 3 and 0 <= before and at - before <= _REACH:
+            n, most = 3, min(_LONGEST, end - at)
+            while n < most and data[before + n : before + n + 16] == data[at + n : at + n + 16] and n + 16 <= most:
+                n += 16
+            while n < most and data[before + n] == data[at + n]:
+                n += 1
+            mark, bits = _LENGTH_BITS[n]
+            pool |= mark << held
+            held += bits
+            distance = at - before - 1
+            code, bits = _DISTANCE_CODES[distance >> _WINDOW]
+            pool |= (code | (distance & (1 << _WINDOW) - 1) << bits) << held
+            held += bits + _WINDOW
+            for i in range(at + 1, min(at + n, at + 5)):  # the ends of a copy are enough to be found again
+                seen[data[i : i + 3]] = i
+            at += n
+            for i in range(max(at - 4, 0), at):
+                seen[data[i : i + 3]] = i
+        else:
+            pool |= data[at] << (held + 1)
+            held += 9
+            at += 1
+        if held >= 64:
+            out += (pool & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
+            pool >>= 64
+            held -= 64
+    mark, bits = _LENGTH_BITS[_END]
+    pool |= mark << held
+    held += bits
+    return bytes(out + pool.to_bytes(-(-held // 8), "little"))

@@ -97,6 +97,13 @@ def test_implode_round_trip(data):
     assert implode.explode(implode.implode(data)) == data
 
 
+def test_implode_copies():
+    for data in (b"", b"a", b"aa", b"aaa", b"a" * 5000, b"abc" * 4000, b" " * 100_000, bytes(range(256)) * 40):
+        assert implode.explode(implode.implode(data)) == data
+    table = dbf.write_table(FIELDS, records(2000))
+    assert len(implode.implode(table)) < len(table) / 3
+
+
 def records(n=50):
     return [
         {"PA_CODUNI": "2270196", "PA_SEXO": "F" if i % 2 else "M", "PA_UFMUN": "120040" if i % 3 else None, "QT": i, "VL": i / 4, "DT": date(2020, 1, 1 + i % 28), "OK": i % 2 == 0}
