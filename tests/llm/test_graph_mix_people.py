@@ -199,6 +199,28 @@ def test_blocks_lose_no_neighbours(spark):
     assert entities.neighbours(df.limit(0), keys).count() == 0
 
 
+def test_scores_and_confidences_by_hand(spark):
+    """Sums of the parts of a comparison worked out by hand, and the confidence that follows."""
+    ana = ("Ana Belmar Corlores", "Rosa Lima Belmar", "1980-03-05", "F", "SP", "Lussaga", "Rua Um, 10")
+    others = {
+        2: (ana, 8.5 + 6.5 + 7.0 + 0.5 + 1.5 + 3.5),
+        3: (("Ana B. Corlores", None, "1980-05-03", "M", "RJ", "Outra", "Rua Nove, 7"), 6.0 + 0.0 + 4.5 - 1.5 - 0.5 - 0.3),  # last name, swapped day and month
+        4: (("Ana Belmar", "Rosa Lima Belmar", "1980", None, None, None, None), 5.0 + 6.5 + 2.0),  # part of the name, year alone
+        5: (("Ana Souza Prado", "Clara Souza", "1955-11-20", "F", "SP", "Lussaga", "Rua Um, 99"), -4.0 - 7.0 - 8.0 + 0.5 + 1.5 + 2.0),  # another person of the house
+        6: (("Ana Belmar Corlores", "Rosa Lima Belmar", "1981-03-05", "F", "SP", "Lussaga", "Rua Um"), 8.5 + 6.5 + 4.5 + 0.5 + 1.5 + 2.0),  # year off by one
+    }
+    c, _ = two_sources(spark, [(1, *ana)] + [(i, *r) for i, (r, _) in others.items()], [])
+    people = entities.with_known_names(entities.normalised(c, entities.COHORT, "c"))
+    pairs = spark.createDataFrame([(1, i) for i in others], "x bigint, y bigint")
+    scored = entities.score_pairs(entities.compared(people, pairs))
+    got = {r.y: (r.score, r.p) for r in scored.withColumn("p", entities.confidence(F.col("score"))).collect()}
+    for i, (_, score) in others.items():
+        assert abs(got[i][0] - score) < 1e-9, (i, got[i], score)
+        assert abs(got[i][1] - 1 / (1 + math.exp(10 - score))) < 1e-12
+    for least in (7.5, 20.0):
+        assert {r.y for r in entities.score_pairs(entities.compared(people, pairs), least).collect()} == {i for i, (_, s) in others.items() if s >= least}
+
+
 def test_known_and_unknown_given_names(spark):
     rows = [(i, n, "Rosa Lima Belmar", "1980-01-01", "F", "SP", "X", "Rua Um, 1") for i, n in enumerate(["Maria Belmar Costa"] * 4 + ["Mariana Belmar Costa"] * 4 + ["Marya Belmar Costa"])]
     c, t = two_sources(spark, [], rows)
