@@ -35,7 +35,7 @@ from ..session import durable, kept, release, scratch, ship
 from .components import components, edges_of
 
 WINDOW = 8
-ROWS_PER_BLOCK = 20_000
+ROWS_PER_BLOCK = 4_000
 #: Score from which a link inside a source joins two records into one person of it.
 STRONG = 9.0
 #: Score from which a link between the sources is a candidate.
