@@ -251,26 +251,35 @@ def same_given() -> Column:
     return F.coalesce(near, F.lit(False)) | (F.coalesce(run_together, F.lit(False)) & (A("last").isNull() | B("last").isNull()))
 
 
-def _birth_score() -> Column:
+def _birth_parts() -> dict[str, Column]:
+    """What two births have in common.
+
+    Columns of their own for :func:`_birth_score`: one expression of all would be a
+    method too long for the JVM to compile, ten times slower.
+    """
     A, B = (lambda f: F.col(f"a.{f}")), (lambda f: F.col(f"b.{f}"))
     two_digits = (A("y") < 100) | (B("y") < 100)
-    same_year = F.when(two_digits, A("y2") == B("y2")).otherwise(A("y") == B("y"))
     gap = F.abs(A("y2") - B("y2"))
-    near_year = gap.isin(1, 10, 90, 99)
-    apart = F.when(two_digits, F.least(gap, 100 - gap)).otherwise(F.abs(A("y") - B("y"))) >= 15  # a parent of the same name
-    swapped = (A("m") == B("d")) & (A("d") == B("m"))
-    near_day = F.abs(A("d") - B("d")).isin(1, 10)
-    default_day = ((A("m") == 1) & (A("d") == 1)) | ((B("m") == 1) & (B("d") == 1))
-    m, d = _equal("m"), _equal("d")
     age = lambda x: F.coalesce(F.when(x("y") >= 100, x("y")), x("by_age"))
-    years = F.abs(age(A) - age(B))
+    first = lambda x: (x("m") == 1) & (x("d") == 1)
+    return {
+        "dated": _both("y"), "full": _both("m"), "same_m": _equal("m"), "same_d": _equal("d"), "years": F.abs(age(A) - age(B)), "near_year": gap.isin(1, 10, 90, 99),
+        "same_year": F.when(two_digits, A("y2") == B("y2")).otherwise(A("y") == B("y")),
+        "apart": F.when(two_digits, F.least(gap, 100 - gap)).otherwise(F.abs(A("y") - B("y"))) >= 15,  # a parent of the same name
+        "swapped": (A("m") == B("d")) & (A("d") == B("m")), "near_day": F.abs(A("d") - B("d")).isin(1, 10), "default_day": first(A) | first(B),
+    }
+
+
+def _birth_score() -> Column:
+    same_year, near_year, apart, m, d = (F.col(c) for c in ("same_year", "near_year", "apart", "same_m", "same_d"))
+    swapped, near_day, years = F.col("swapped"), F.col("near_day"), F.col("years")
     by_age = F.when(years.isNull(), 0.0).when(years <= 2, 0.7).when(years.between(9, 11), 0.0).when(years >= 15, -8.0).otherwise(-4.0)
     return (
-        F.when(~_both("y"), by_age)
-        .when(~_both("m"), F.when(same_year, 2.0).when(near_year, 0.0).when(apart, -8.0).otherwise(-5.0))
+        F.when(~F.col("dated"), by_age)
+        .when(~F.col("full"), F.when(same_year, 2.0).when(near_year, 0.0).when(apart, -8.0).otherwise(-5.0))
         .when(same_year & m & d, 7.0)
-        .when(same_year & (swapped | (m & near_day) | default_day) | (near_year & m & d), 4.5)
-        .when((same_year & (m | d)), 2.5).when(near_year & (swapped | (m & near_day)), 2.5).when(m & d & ~apart, 0.0).when(same_year, -2.0).when(apart, -8.0).otherwise(-5.0)
+        .when(same_year & (swapped | (m & near_day) | F.col("default_day")) | (near_year & m & d), 4.5)
+        .when(same_year & (m | d), 2.5).when(near_year & (swapped | (m & near_day)), 2.5).when(m & d & ~apart, 0.0).when(same_year, -2.0).when(apart, -8.0).otherwise(-5.0)
     )
 
 
@@ -320,7 +329,8 @@ def score_pairs(pairs: DataFrame, least: float | None = None) -> DataFrame:
     The cheap parts come first; names are compared only where the sum can still reach ``least``.
     """
     reach = lambda rest: None if least is None else F.col("score") + F.lit(rest) >= F.lit(least)
-    p = _kept(pairs, {"score": _birth_score() + _place_score()}, reach(8.5 + 6.5))
+    p = _kept(pairs.select("a", "b"), _birth_parts()).select("a", "b", _birth_score().alias("birth"))
+    p = _kept(p, {"score": F.col("birth") + _place_score()}, reach(8.5 + 6.5)).drop("birth")
     p = _kept(p, {"m_whole": similar(F.col("a.m_compact"), F.col("b.m_compact"))})
     p = _kept(p.withColumnRenamed("score", "s0"), {"score": F.col("s0") + _mother_score()}, reach(8.5)).drop("s0")
     p = _kept(p, {"whole": similar(F.col("a.compact"), F.col("b.compact"))})
