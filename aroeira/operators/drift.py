@@ -347,16 +347,16 @@ def consistent(raw: DataFrame, metadata: DataFrame) -> DataFrame:
     lines = raw.select(canonical_file(F.col("file")).alias("file"), "line_no", "payload").dropDuplicates().withColumn("m", F.from_json("payload", "map<string,string>"))
     lines = lines.join(rules, "file", "left")
 
-    def field(e: Column) -> Column:
-        name, value = F.upper(F.trim(e["key"])), F.trim(e["value"])
-        listed = F.element_at("rules", name)
-        # a file without a list, or a field its list lacks, goes by what most files mean
-        column = F.coalesce(listed["column"], lookup(default_of, name))
-        fits = F.when(column.isNotNull(), plain(value, listed["kind"], lookup(kind_of, column), lookup(width_of, column, "int")))
-        return F.struct(column.alias("column"), fits.isNull().alias("out"), listed.isNull().alias("other"), name.alias("name"), fits.alias("fits"), value.alias("value"))
-
+    # one step after the other, so that nothing is worked out twice
     there = F.filter(F.map_entries("m"), lambda e: F.trim(e["value"]) != "")
-    fields = lines.select("file", "line_no", "payload", F.col("m").isNotNull().alias("readable"), F.array_sort(F.transform(there, field)).alias("fields"))
+    named = F.transform(there, lambda e: F.struct(F.upper(F.trim(e["key"])).alias("name"), F.trim(e["value"]).alias("value")))
+    listed = F.transform(named, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"), F.element_at("rules", x["name"]).alias("rule")))
+    # a file without a list, or a field its list lacks, goes by what most files mean
+    placed = F.transform(listed, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"), x["rule"]["kind"].alias("own"), x["rule"].isNull().alias("other"), F.coalesce(x["rule"]["column"], lookup(default_of, x["name"])).alias("column")))
+    typed = F.transform(placed, lambda x: F.struct(*(x[c].alias(c) for c in ("name", "value", "own", "other", "column")), lookup(kind_of, x["column"]).alias("kind"), lookup(width_of, x["column"], "int").alias("width")))
+    cast = F.transform(typed, lambda x: F.struct(*(x[c].alias(c) for c in ("name", "value", "other", "column")), F.when(x["column"].isNotNull(), plain(x["value"], x["own"], x["kind"], x["width"])).alias("fits")))
+    field = F.transform(cast, lambda x: F.struct(x["column"].alias("column"), x["fits"].isNull().alias("out"), *(x[c].alias(c) for c in ("other", "name", "fits", "value"))))
+    fields = lines.select("file", "line_no", "payload", F.col("m").isNotNull().alias("readable"), F.array_sort(field).alias("fields"))
     # sorted by column, what fits first: the first of each column is its value
     second = F.transform("fields", lambda e, i: F.struct(e.alias("e"), (e["out"] | ((i > 0) & F.get(F.col("fields"), i - 1)["column"].eqNullSafe(e["column"]))).alias("left")))
     split = fields.select("file", "line_no", "payload", "readable", second.alias("s"))
