@@ -1,5 +1,6 @@
 import math
 import random
+import threading
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from aroeira.functions.scoring import fellegi_sunter_weights, log2_ratio
 from aroeira.operators import index, linkage
 from aroeira.operators.linkage import CohortConfig, LinkageConfig, LinkageStrategy
+from aroeira.plans import reference_queries
 
 from .conftest import bag
 
@@ -216,3 +218,41 @@ def test_hot_blocks_are_cut_by_load(spark):
     cut = linkage._sharded(linkage._keyed(t, ["K"], "target"), "target", [("hot", 16, True)])
     sizes = [r["count"] for r in cut.where("block_key = 'hot'").groupBy("shard").count().collect()]
     assert len(sizes) == 16 and max(sizes) < 100
+
+
+def test_counts_are_those_of_the_pairs(spark, tmp_path):
+    """Nulls, not-a-number, blanks, types, fields that are not there, repeated rows, hot blocks and several steps."""
+    rnd = random.Random(7)
+    some = lambda n, **values: [(str(i), *(rnd.choice(v) for v in values.values())) for i in range(n)]
+    values = {"K": ["k", "k", "k", "l", "", None], "A": ["a", "k", "", None], "N": [0.0, -0.0, 1.0, 2.5, math.nan, None]}
+    c = frame(spark, "ID K A N", some(60, **values), "string string string double")
+    t = frame(spark, "ID K A N I", some(80, **values, I=[0, 1, 2, None]), "string string string double int")
+    k, wants = same("K"), []
+    configs = [
+        det(same("K", "A", "N")), det({"N": "I"}, k), det(same("N")), det({"A": "I", "K": "K"}), det({}, k), det({"A": "y"}, k), det({"A": "K", "K": "K"}, k),
+        prob("simple", same("A", "N"), k, {"A": 2}, 0.5), prob("fellegi-sunter", same("A", "N"), k, {"A": {"m": 0.9, "u": 0}}, 0.5), LinkageConfig("z", "fuzzy", k),
+    ]
+    for config in configs:
+        s = LinkageStrategy("t", tasks=8).cohort(c, CohortConfig("c")).link(t, config)
+        wants.append(s.exec().count())
+        assert bag(s.count()) == [(wants[-1],)], config
+    assert [c for c, n in zip(configs, wants) if not n] == [configs[5], configs[9]]
+    outside, told = index.ExternalIndex("counted_cohort", 4, str(tmp_path / "index")), []
+    s = LinkageStrategy("t", index=outside).cohort(c, CohortConfig("c")).link(t, det(k))
+    assert bag(s.count()) == [(s.exec().count(),)]
+    outside.drop(spark)
+    s = LinkageStrategy("t", index=index.ChunkedIndex(25, lambda i, n: told.append(n)), reindex_per_step=True).cohort(c, CohortConfig("c")).link(t, det(k)).link(c, configs[0])
+    assert bag(s.count()) == [(s.exec().count(),)] and told[: len(told) // 2] == told[len(told) // 2 :] != []
+    with pytest.raises(ValueError, match="No linkage defined"):
+        LinkageStrategy("t").cohort(c, CohortConfig("c")).count()
+
+
+def test_unknown_type_beside_a_large_block(spark, tmp_path):
+    """A million parts of one brand are 10^12 pairs, which nobody has to make to count them."""
+    spark.range(10**6).selectExpr("id p_partkey", "'Brand#11' p_brand", "'type' p_type", "cast(id % 50 as int) p_size").write.parquet(str(tmp_path / "part.parquet"))
+    late = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        assert bag(reference_queries.QUERIES["link_unknown_type"](spark, str(tmp_path))) == [(10**12, 0)]
+    finally:
+        late.cancel()
